@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import sharding, simhash, token_counts
+from lakeloom.llm import decontaminate, html_text, licenses, sharding, simhash, token_counts
 from lakeloom.llm.common import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,46 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), token_counts.fresh_cache(docs))
 
 
+def _joined(labels) -> F.Column:
+    return F.concat_ws(",", F.sort_array(F.array_distinct(labels)))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(_table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    accepted = F.exists("matches", lambda m: ~m["base"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        _joined(F.transform(base, lambda m: m["label"])).alias("base_labels"),
+        _joined(F.transform("matches", lambda m: m["label"])).alias("labels"),
+        F.when(accepted, 1.0).when(F.size("matches") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    items = F.concat_ws(",", F.sort_array("items"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_pages(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op8_licenses": op8_licenses,
+    "op9_decontamination": op9_decontamination,
+    "op10_html_text": op10_html_text,
 }
 
 #: No dealt operator's rows can be had from DuckDB's SQL at whole-table size; each is tested against brute force.
