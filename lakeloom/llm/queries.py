@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, html_text, licenses, packing, sharding, simhash, token_counts
+from lakeloom.llm import decontaminate, html_text, licenses, packing, sharding, simhash, token_counts, toxicity
 from lakeloom.llm.common import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(of: int) -> F.Column:
+    """crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.document_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -37,6 +42,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), token_counts.fresh_cache(docs))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = _table(spark, sf_dir, "documents"), toxicity.Settings()
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), settings, learn=_remainder(3) != 1)
+    scored = toxicity.score(docs, model, settings)
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def _joined(labels) -> F.Column:
     return F.concat_ws(",", F.sort_array(F.array_distinct(labels)))
 
@@ -75,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_html_text": op10_html_text,
