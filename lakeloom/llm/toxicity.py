@@ -7,7 +7,7 @@ weighs their states, and a logistic unit scores the pooled state. Training is pl
 task, on a sample of labelled rows whose bound is a parameter; every text is scored whole, over all windows
 that overlap by half, and takes the score of its worst window.
 
-Cases: null text is the empty text; a text without words gets the score of an empty window; repeated rows
+Cases: null text is the empty text; a text without words scores 0; repeated rows
 get equal scores; labels that are null are not learned from, of several labels of a document the highest
 counts; without labels of both kinds all scores are 0; extra columns are ignored.
 """
@@ -181,7 +181,7 @@ class Network:
         full, short = ([], []), ([], [])
         for k, text in enumerate(texts):
             ids = self.ids(ALNUM_WORDS.findall(lower_bytes(text)))
-            for a, b in windows_of(len(ids), s.window, s.stride):
+            for a, b in windows_of(len(ids), s.window, s.stride) if len(ids) else ():
                 into = full if b - a == s.window else short
                 into[0].append(k)
                 into[1].append(ids[a:b])
@@ -318,14 +318,12 @@ def train(texts: list[str | None], labels: list[int], settings: Settings) -> Net
         for k in set(int(c) for c in chosen):
             rows.append(ids[slice(*spans[k])])
             targets.append(label)
-    # Clean words said over and over stay clean, and so does a window without words.
+    # Clean words said over and over stay clean.
     benign = np.unique(np.concatenate([ids for ids, label in zip(coded, y) if not label]))
     benign = benign[np.argsort(-known[benign], kind="stable")][:2000]
     for k in rng.permutation(len(benign))[: max(20, len(rows) // 8)]:
         rows.append(np.full(int(rng.integers(2, settings.window + 1)), benign[k]))
         targets.append(0)
-    rows += [np.empty(0, np.int64)] * 10
-    targets += [0] * 10
     block, mask = np.zeros((len(rows), settings.window), np.int64), np.zeros((len(rows), settings.window), bool)
     for i, ids in enumerate(rows):
         block[i, : len(ids)], mask[i, : len(ids)] = ids, True
