@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, html_text, licenses, packing, sharding, simhash, token_counts, toxicity
+from lakeloom.llm import decontaminate, html_text, licenses, packing, sharding, simhash, sketches, token_counts, toxicity
 from lakeloom.llm.common import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), token_counts.fresh_cache(docs))
 
 
+def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketches.version_sketches(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, settings = _table(spark, sf_dir, "documents"), toxicity.Settings()
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), settings, learn=_remainder(3) != 1)
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_sketches": op6_sketches,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
