@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, html_text, licenses, packing, sharding, simhash, sketches, token_counts, toxicity
+from lakeloom.llm import decontaminate, html_text, interpolation, licenses, packing, sharding, simhash, sketches, token_counts, toxicity
 from lakeloom.llm.common import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def _remainder(of: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
 
 
+def op1_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.when(_remainder(5) == 1, interpolation.UNSEEN).when(_remainder(5) == 0, interpolation.DELETED).otherwise(interpolation.KEPT)
+    scored = interpolation.score_documents(_table(spark, sf_dir, "documents"), part)
+    held_out = (F.col("part") == interpolation.UNSEEN).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.document_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -88,6 +95,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_interpolation": op1_interpolation,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
