@@ -140,63 +140,63 @@ def _shard(texts: list[str | None], windows: Windows) -> tuple[list[int], list[l
     return sizes, spans, items
 
 
-def searcher(windows, id_type: pa.DataType):
-    """``windows``: a broadcast :class:`Windows`."""
+def searcher(windows, columns: list[str]):
+    """``windows``: a broadcast :class:`Windows`; ``columns`` go through, and the text comes after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[pa.Array] = []
+        carried: list[pa.RecordBatch] = []
         texts: list[str | None] = []
         held = 0
 
         def out() -> pa.RecordBatch:
             sizes, spans, items = _shard(texts, windows.value)
-            keys = pa.chunked_array(ids, id_type).combine_chunks()
-            return pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["_key", "n_words", "spans", "items"])
+            held = pa.Table.from_batches(carried).combine_chunks().to_batches()[0]
+            found = [pa.array(sizes, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([*held.columns[:-1], *found], [*columns, "n_words", "spans", "items"])
 
         for batch in pieces_of(batches, 64):
-            ids.append(batch.column(0))
-            fresh = batch.column(1).to_pylist()
+            carried.append(batch)
+            fresh = batch.column(batch.num_columns - 1).to_pylist()
             texts += fresh
             held += sum(len(t) // 4 for t in fresh if t)
             if held >= SHARD_WORDS:
                 yield out()
-                ids, texts, held = [], [], 0
+                carried, texts, held = [], [], 0
         if texts:
             yield out()
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``(id, n_words, spans, items)``: merged spans of words [start, end) inside occurrences, and whose."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, n_words, spans, items)``: merged spans of words [start, end) inside occurrences, and whose."""
     spark = docs.sparkSession
     ship(spark)
     blocks = [spark.sparkContext.broadcast(w) for w in window_blocks(benchmark, item_col, item_text_col, width, block_windows)]
     if not blocks:
         blocks = [spark.sparkContext.broadcast(Windows([], width))]
-    kind = docs.schema[id_col].dataType
+    columns = [id_col, *(c for c in keep if c != id_col)]
     result = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
-    def search(rows: DataFrame, key_type, block) -> DataFrame:
-        return rows.mapInArrow(searcher(block, to_arrow_type(key_type)), f"_key {key_type.simpleString()}, {result}")
+    def search(rows: DataFrame, carried: list[str], block) -> DataFrame:
+        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+        return rows.mapInArrow(searcher(block, carried), f"{kinds}, {result}")
 
     if len(blocks) == 1:
-        return search(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), kind, blocks[0]).withColumnRenamed("_key", id_col)
+        return search(docs.select(*columns, F.col(text_col).alias("_searched_text")), columns, blocks[0])
 
-    rows = Scratch(spark, "decontaminate").save(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "rows")
-    keyed = rows.select("_row", "_text")
-    found = reduce(DataFrame.unionByName, (search(keyed, keyed.schema["_row"].dataType, b) for b in blocks))
-    merged = found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *columns, F.col(text_col).alias("_searched_text"))
+    rows = Scratch(spark, "decontaminate").save(rows, "rows")
+    found = reduce(DataFrame.unionByName, (search(rows.select("_row", "_searched_text"), ["_row"], b) for b in blocks))
+    merged = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [[{"start": a, "end": b} for a, b in merge_spans([(s["start"], s["end"]) for s in held])] for held in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPANS), batch.column(3)], ["_key", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPANS), batch.column(3)], ["_row", "n_words", "spans", "items"])
 
-    merged = merged.mapInArrow(merge, f"_key long, {result}")
-    return rows.select("_row", F.col("_id").alias(id_col)).join(merged, F.col("_row") == F.col("_key")).select(id_col, "n_words", "spans", "items")
+    merged = merged.mapInArrow(merge, f"_row long, {result}")
+    return rows.select("_row", *columns).join(merged, "_row").select(*columns, "n_words", "spans", "items")
 
 
 def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

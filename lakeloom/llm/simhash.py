@@ -80,7 +80,7 @@ class Block:
         varied = 0
         for x in members:
             varied |= x ^ members[0]
-        self.bits = [b for b in range(64) if varied >> b & 1]
+        self.bits = [b for b in range(varied.bit_length()) if varied >> b & 1]
         self.slices = []
         for at in range(0, len(members), _LANES):
             lane = members[at : at + _LANES]
