@@ -1,0 +1 @@
+"""Rules as data, compiled to DataFrame plans."""
