@@ -1,0 +1 @@
+"""Operators over facts, catalog entries and observations."""
