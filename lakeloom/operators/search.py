@@ -33,17 +33,8 @@ def _leaf(words: list[str], prefix: bool, found: Column) -> Column:
         return F.lit(False)
     if len(words) == 1:
         return F.exists(found, lambda t: t.startswith(words[0])) if prefix else F.array_contains(found, words[0])
-    spots = F.sequence(F.lit(0), F.size(found) - len(words))
-    last = len(words) - 1
-
-    def here(at: Column) -> Column:
-        out = F.lit(True)
-        for k, w in enumerate(words):
-            token = F.get(found, at + k)
-            out = out & (token.startswith(w) if prefix and k == last else token == w)
-        return out
-
-    return F.when(F.size(found) < len(words), False).otherwise(F.exists(spots, here))
+    line = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))  # tokens hold no blanks
+    return line.contains(" " + " ".join(words) + ("" if prefix else " "))
 
 
 def match(query: str, found: Column) -> Column:
@@ -101,10 +92,14 @@ def match(query: str, found: Column) -> Column:
     return out
 
 
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("_t", lambda t: t == word))
+
+
 def bm25(texts: DataFrame, query_words: list[str], id_col: str, text_col: str) -> DataFrame:
     """``(id, score)`` of texts with any of the words: one pass for the statistics, without an exploded index."""
     words = [w.lower() for w in dict.fromkeys(query_words)]
-    found = texts.select(id_col, tokens(F.col(text_col)).alias("_t")).select(id_col, F.size("_t").alias("_n"), *(F.size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_f{k}") for k, w in enumerate(words)))
+    found = texts.select(id_col, tokens(F.col(text_col)).alias("_t")).select(id_col, F.size("_t").alias("_n"), *(_occurrences(w).alias(f"_f{k}") for k, w in enumerate(words)))
     stats = found.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(words))))
     rows = found.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

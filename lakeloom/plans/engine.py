@@ -166,28 +166,28 @@ class Engine:
         for name in stratum:
             seeds = [compile_rule(r, read) for r in self.heads[name] if r not in recursive]
             if not seeds:
-                raise RuleError(f"{name} has no rule to start from") if len(stratum) == 1 else None
                 continue
             rows, loose = self._union(seeds)
             for key in self._invariant(name, recursive, constraints):
-                shown_key = shown(rows.select(key), loose).schema[key].dataType  # noqa: F841
-                rows = self._constrained(shown(rows, {key: loose.get(key, False)}).withColumnRenamed(key, "_k").withColumn(key, F.col("_k")), {key: constraints[key]}).drop("_k") if not loose.get(key) else rows.where(self._loose_match(key, constraints[key]))
+                if loose.get(key):
+                    rows = rows.where(self._loose_match(key, constraints[key]))
+                else:
+                    rows = self._constrained(rows, {key: constraints[key]})
             totals[name] = (cut(rows.distinct()), loose)
         recursive = [self._squared(r) or r for r in recursive] if len(stratum) == 1 else recursive
-        for name in stratum:
-            if name not in totals:
-                first = next(r for r in recursive if r.head.relation == name)
-                if all(a.relation in totals or a.relation not in stratum for a in first.body):
-                    rows, loose = compile_rule(first, self._reader(derived, scope, totals))
-                    totals[name] = (cut(rows.limit(0)), loose)
-                else:
-                    raise RuleError(f"{name} has no rule to start from")
+        # Relations that only others of the stratum feed begin empty, with the columns of a rule that can be read.
+        while missing := [n for n in stratum if n not in totals]:
+            ready = [r for r in recursive if r.head.relation in missing and all(a.relation in totals or a.relation not in stratum for a in r.body)]
+            if not ready:
+                raise RuleError(f"{', '.join(missing)}: no rule to start from")
+            for rule in ready:
+                if rule.head.relation not in totals:
+                    rows, loose = compile_rule(rule, self._reader(derived, scope, totals))
+                    totals[rule.head.relation] = (cut(rows.limit(0)), loose)
         delta = dict(totals)
         for _ in range(self.rounds):
             found: dict[str, list] = {}
             for rule in recursive:
-                if any(a.relation in stratum and a.relation not in totals for a in rule.body):
-                    continue
                 for at, atom in enumerate(rule.body):
                     if atom.relation in stratum and atom.relation in delta:
                         readers = [self._reader(derived, scope, delta if k == at else totals) for k in range(len(rule.body))]
