@@ -31,22 +31,29 @@ from lakeloom.llm.common import input_partitions, ship
 #: Cells of a fingerprint, a multiple of three.
 CELLS = 48
 #: Between paragraphs, and between the pieces of a paragraph.
-_CUT = re.compile(rb"(?<=[dhsy.,\x81\x89\x91\x99\xa1\xa9\xb1\xb9])[\x20\t]+|\s*\n\s*")
+_CUT = re.compile(rb"(?<=[dhsyDHSY.,!?\x81\x89\x91\x99\xa1\xa9\xb1\xb9])[\x20\t]+|\n")
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_S30, _S27, _S31 = (np.uint64(n) for n in (30, 27, 31))
+_THREE = [np.uint64(n) for n in (0, 21, 42)]
+_LOW = np.uint64(0x1FFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> _S30)
+    x *= _MIX1
+    x ^= x >> _S27
+    x *= _MIX2
+    x ^= x >> _S31
+    return x
 
 
 def paragraph_digests(text: str | None, seed: int = 7) -> np.ndarray:
     """A 64-bit digest of every piece of every paragraph; the k-th repeat of a piece has a digest of its own."""
     raw = b"" if text is None else text.encode("utf-8", "surrogatepass").strip()
-    out = [xxhash.xxh64_intdigest(piece, seed) for piece in _CUT.split(raw)] if raw else []
+    digest = xxhash.xxh64_intdigest
+    out = [digest(piece, seed) for piece in _CUT.split(raw) if piece]
     values = np.array(out, np.uint64)
     if len(values) < 2:
         return values
@@ -70,40 +77,59 @@ class Sketch:
         """The cells of each digest in the first third, then those in the second and the last."""
         third = np.uint64(cells // 3)
         spread = mix(digests + _MIX1)
-        parts = [(spread >> np.uint64(shift) & np.uint64(0x1FFFFF)) % third for shift in (0, 21, 42)]
-        return np.concatenate([p + np.uint64(k) * third for k, p in enumerate(parts)]).astype(np.int64)
+        parts = [(spread >> shift & _LOW) % third for shift in _THREE]
+        parts[1] += third
+        parts[2] += third + third
+        return np.concatenate(parts).astype(np.int64)
 
     @classmethod
     def of(cls, digests: np.ndarray, cells: int) -> Sketch:
+        return cls.difference(digests, digests[:0], cells)
+
+    @classmethod
+    def difference(cls, left: np.ndarray, right: np.ndarray, cells: int) -> Sketch:
+        """The sketch of the left minus that of the right; sketches add up, so one is filled with both."""
         out = cls(cells, np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64))
-        out.add(digests, np.ones(len(digests), np.int64))
+        signs = np.ones(len(left) + len(right), np.int64)
+        signs[len(left) :] = -1
+        out.add(np.concatenate((left, right)) if len(right) else left, signs)
         return out
 
     def add(self, digests: np.ndarray, signs: np.ndarray) -> None:
         if not len(digests):
             return
-        spots = self.places(digests, self.cells)
-        np.add.at(self.counts, spots, np.tile(signs, 3))
-        np.bitwise_xor.at(self.sums, spots, np.tile(digests, 3))
-        np.bitwise_xor.at(self.checks, spots, np.tile(mix(digests ^ _MIX2), 3))
+        spots, checks = self.places(digests, self.cells), mix(digests ^ _MIX2)
+        np.add.at(self.counts, spots, np.concatenate((signs, signs, signs)))
+        np.bitwise_xor.at(self.sums, spots, np.concatenate((digests, digests, digests)))
+        np.bitwise_xor.at(self.checks, spots, np.concatenate((checks, checks, checks)))
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.cells, self.counts - other.counts, self.sums ^ other.sums, self.checks ^ other.checks)
 
+    def apart(self) -> int:
+        """About how many digests a difference holds, from the spread of its counts."""
+        return int(np.dot(self.counts, self.counts)) // 3
+
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """The digests only on the left and only on the right, or None where cells remain."""
-        rest = Sketch(self.cells, self.counts.copy(), self.sums.copy(), self.checks.copy())
+        """The digests only on the left and only on the right, or None where cells remain; empties the sketch.
+
+        A difference of many more digests than cells cannot be peeled and is not begun.
+        """
+        if self.apart() > 1.5 * self.cells + 8:
+            return None
         found, signs = [], []
         while True:
-            pure = np.flatnonzero((np.abs(rest.counts) == 1) & (mix(rest.sums ^ _MIX2) == rest.checks))
+            pure = np.flatnonzero(np.abs(self.counts) == 1)
+            sums = self.sums[pure]
+            pure = pure[mix(sums ^ _MIX2) == self.checks[pure]]
             if not len(pure):
                 break
-            digests, at = np.unique(rest.sums[pure], return_index=True)
-            sign = rest.counts[pure][at]
-            rest.add(digests, -sign)
+            digests, at = np.unique(self.sums[pure], return_index=True)
+            sign = self.counts[pure[at]]
+            self.add(digests, -sign)
             found.append(digests)
             signs.append(sign)
-        if rest.counts.any() or rest.sums.any() or rest.checks.any():
+        if self.counts.any() or self.sums.any() or self.checks.any():
             return None
         digests = np.concatenate(found) if found else np.empty(0, np.uint64)
         sign = np.concatenate(signs) if signs else np.empty(0, np.int64)
@@ -117,15 +143,14 @@ class Sketch:
 
 def differing(left: np.ndarray, right: np.ndarray, cells: int = CELLS, sketches: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Digests only on the left and only on the right, by sketches that grow until peeling succeeds."""
-    a, b = sketches or (Sketch.of(left, cells), Sketch.of(right, cells))
+    rest = sketches[0] - sketches[1] if sketches else Sketch.difference(left, right, cells)
     while True:
-        rest = a - b
+        apart = rest.apart()  # before peeling empties it
         peeled = rest.peel()
         if peeled is not None:
             return peeled
-        apart = int((rest.counts**2).sum()) // 3  # about as many digests differ
         cells = max(2 * rest.cells, CELLS * -(-8 * apart // (5 * CELLS)))
-        a, b = Sketch.of(left, cells), Sketch.of(right, cells)
+        rest = Sketch.difference(left, right, cells)
 
 
 def likeness(left: np.ndarray, right: np.ndarray, cells: int = CELLS, sketches: tuple[Sketch, Sketch] | None = None) -> float:
