@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import SPACE_WORDS, Scratch, input_partitions, lower_bytes, pieces_of, ship
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Parts of the documents: scored only, counted, and deleted from the counts while weights are learned.
 UNSEEN, KEPT, DELETED = 0, 1, 2
 _BINS, _STEP, _CONTEXTS = 1280, 16, 64
@@ -92,16 +92,24 @@ def chunker(id_type: pa.DataType):
     return run
 
 
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One chunk at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Chunk:
     """A chunk's tokens with their contexts, and its distinct words and pairs in the order of their buckets."""
 
     def __init__(self, row: dict):
-        self.parts, self.lengths, self.words = expand(row["parts"]), expand(row["lengths"]), expand(row["tokens"])
+        self.parts, self.lengths, self.words = expand(row["parts"]), expand(row["lengths"]), expand(row["tokens"]).astype(np.int32)
         self.digests = np.frombuffer(row["digests"], np.uint64)
-        self.before = np.concatenate(([0], self.words[:-1]))  # a text begins after the end of another
-        codes = self.before * len(self.digests) + self.words
-        self.pairs, self.pair_of = np.unique(codes, return_inverse=True)
-        self.part_of = np.repeat(self.parts, self.lengths)
+        self.before = np.concatenate((np.zeros(1, np.int32), self.words[:-1]))  # a text begins after the end of another
+        codes = self.before.astype(np.int64) * len(self.digests) + self.words
+        self.pairs, place = np.unique(codes, return_inverse=True)
+        self.pair_of = place.astype(np.int32)
+        self.part_of = np.repeat(self.parts.astype(np.int8), self.lengths)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Digests of the distinct words and of the distinct pairs."""
@@ -129,21 +137,20 @@ ANSWER = "chunk long, bucket long, size int, kept binary, deleted binary, totals
 
 def asker(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row)
-                out = []
-                for size, keys, kept, deleted in zip((1, 2), chunk.keys(), chunk.counts(KEPT), chunk.counts(DELETED)):
-                    order, ends = bucket_order(keys, buckets)
-                    start = 0
-                    for bucket, end in enumerate(ends.tolist()):
-                        if end > start:
-                            own = order[start:end]
-                            out.append((bucket, row["chunk"], size, keys[own].tobytes(), squeeze(kept[own]), squeeze(deleted[own])))
-                        start = end
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                for at in range(0, len(out), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 512]), kinds)], ["bucket", "chunk", "size", "keys", "kept", "deleted"])
+        for row in single_rows(batches):
+            chunk = Chunk(row)
+            out = []
+            for size, keys, kept, deleted in zip((1, 2), chunk.keys(), chunk.counts(KEPT), chunk.counts(DELETED)):
+                order, ends = bucket_order(keys, buckets)
+                start = 0
+                for bucket, end in enumerate(ends.tolist()):
+                    if end > start:
+                        own = order[start:end]
+                        out.append((bucket, row["chunk"], size, keys[own].tobytes(), squeeze(kept[own]), squeeze(deleted[own])))
+                    start = end
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            for at in range(0, len(out), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 512]), kinds)], ["bucket", "chunk", "size", "keys", "kept", "deleted"])
 
     return run
 
@@ -230,16 +237,15 @@ def ratio_counter(total: int, kinds: int, weight: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((_CONTEXTS + 1, _BINS + 1), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Counts(row, deleted_too=False)
-                on = (c.chunk.part_of == DELETED) & (c.context > 0)
-                pair, context, word = c.pair[on], c.context[on], c.word[on]
-                ratio = pair / context / unigram(word, total, kinds, weight)
-                place = np.full(len(pair), _BINS)
-                seen = pair > 0
-                place[seen] = np.clip(np.rint(np.log2(ratio[seen]) * _STEP) + _BINS // 2, 0, _BINS - 1)
-                np.add.at(sums, (context_bucket(context), place), 1)
+        for row in single_rows(batches):
+            c = Counts(row, deleted_too=False)
+            on = (c.chunk.part_of == DELETED) & (c.context > 0)
+            pair, context, word = c.pair[on], c.context[on], c.word[on]
+            ratio = pair / context / unigram(word, total, kinds, weight)
+            place = np.full(len(pair), _BINS)
+            seen = pair > 0
+            place[seen] = np.clip(np.rint(np.log2(ratio[seen]) * _STEP) + _BINS // 2, 0, _BINS - 1)
+            np.add.at(sums, (context_bucket(context), place), 1)
         where = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(where[0].astype(np.int64)), pa.array(where[1].astype(np.int64)), pa.array(sums[where])], ["context", "place", "n"])
 
@@ -262,17 +268,16 @@ def scorer(total: int, kinds: int, weight: float, mixed: list[float], id_type: p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(mixed)
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Counts(row, deleted_too=True)
-                m = table[context_bucket(c.context)]
-                p = m * c.pair / np.maximum(c.context, 1) + (1 - m) * unigram(c.word, total, kinds, weight)
-                base = np.log10((c.word + 0.5) / (total + 0.5 * (kinds + 1)))
-                at = np.concatenate(([0], np.cumsum(c.chunk.lengths)[:-1]))
-                sums = lambda x: np.add.reduceat(x, at)
-                values = [c.chunk.lengths, sums((c.word > 0).astype(np.int64)), sums(base), sums(np.log10(p))]
-                arrays = [pa.array(row["ids"], id_type), pa.array(c.chunk.parts), *map(pa.array, values)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        for row in single_rows(batches):
+            c = Counts(row, deleted_too=True)
+            m = table[context_bucket(c.context)]
+            p = m * c.pair / np.maximum(c.context, 1) + (1 - m) * unigram(c.word, total, kinds, weight)
+            base = np.log10((c.word + 0.5) / (total + 0.5 * (kinds + 1)))
+            at = np.concatenate(([0], np.cumsum(c.chunk.lengths)[:-1]))
+            sums = lambda x: np.add.reduceat(x, at)
+            values = [c.chunk.lengths, sums((c.word > 0).astype(np.int64)), sums(base), sums(np.log10(p))]
+            arrays = [pa.array(row["ids"], id_type), pa.array(c.chunk.parts), *map(pa.array, values)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
