@@ -19,7 +19,7 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of longs to ``(node, root)``: each node that has a link, with its component's smallest node."""
 
     def oriented(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +27,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         df = df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         return scratch.save(df, name)
 
+    scratch = Scratch(links.sparkSession, "components")
     links = oriented(links, "links-0")
     seen = _signature(links)
     step = 0

@@ -4,12 +4,13 @@ Texts with the same set of shingles are one member. A member has a 128-bit SimHa
 seven minima of re-scrambled shingle hashes; members that share any two minima meet in a block. At a similarity
 of 0.8 a pair misses all its 21 blocks with a chance of 4 in 10,000, above 0.9 with less than one in a million.
 In a block the fingerprints are compared by bit planes (see :mod:`lakeloom.llm.simhash`) at rising radii, and
-the links that first connect two parts are reported, so links follow increasing distance, are at most as many
-as members, and large groups never produce all their pairs. Every link is then checked by the exact similarity
-of the two shingle sets, and checked links make the groups.
+the links that first connect two parts are reported, at most as many as members, so that large groups never
+produce all their pairs. They make loose groups, in which the shingle sets come together once, and every pair
+within the radius that is not connected yet is checked by its exact similarity. Checked links make the groups.
 
 Blocks are streamed in tiles of bounded size: a tile is compared with itself and with one member of every part
-found before it.
+found before it. A loose group of more than ``GATHERED`` members is dealt over several tasks, and the links
+between its parts are the first ones, checked one by one.
 
 Cases: null text is the empty text; texts without words have equal, empty sets and form one group; shorter
 texts have their whole word sequence as their only shingle; repeated rows form a group and one row stays; an
@@ -31,7 +32,7 @@ from lakeloom.llm.common import Scratch, input_partitions, pieces_of, ship
 from lakeloom.llm.components import components
 from lakeloom.llm.simhash import Block, majority, shingle_hashes
 
-MINIMA, TILE = 7, 2048
+MINIMA, TILE, GATHERED = 7, 2048, 1500
 #: Differing bits of 128. At a similarity of 0.8, 19 bits differ on average, and over 31 of them with a chance of 0.2 %.
 RADII = (8, 14, 20, 31)
 
@@ -159,30 +160,87 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def set_builder(words: int):
+    """Rows (member, text, ...) to (member, shingles, ...)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 256):
             sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["member", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], ["member", "shingles", *batch.schema.names[2:]])
 
     return run
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the similarity of two sorted sets reaches the threshold."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def checker(similarity: float):
-    """Links whose exact set similarity reaches the threshold."""
+    """Rows (a, b, x, y) to the links whose sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 512):
-            keep = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            mask = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return run
 
 
+def checked_links(members: list[int], prints: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all members that chains of alike pairs within the radius connect."""
+    block = Block(prints, RADII[-1])
+    part = list(range(len(members)))
+    lanes = {i: 1 << i for i in part}  # members of a part, by its first
+    links = []
+    for i in range(len(members)):
+        near = 0
+        for s, (at, _, _) in enumerate(block.slices):
+            near |= block.within(prints[i], s) << at
+        tried = (1 << (i + 1)) - 1  # pairs with earlier members have been tried from there
+        while fresh := near & ~tried & ~lanes[part[i]]:
+            j = (fresh & -fresh).bit_length() - 1
+            tried |= 1 << j
+            if alike(sets[i], sets[j], similarity):
+                a, b = sorted((part[i], part[j]))
+                rest = lanes.pop(b)
+                lanes[a] |= rest
+                while rest:
+                    part[(rest & -rest).bit_length() - 1] = a
+                    rest &= rest - 1
+                links.append((members[i], members[j]))
+    return links
+
+
+def group_checker(similarity: float):
+    """Over rows (group, salt, member, high, low, shingles) sorted by the first two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        members: list[int] = []
+        prints: list[int] = []
+        sets: list[np.ndarray] = []
+        for batch in pieces_of(batches, 512):
+            out: list[tuple[int, int]] = []
+            for group, salt, member, high, low, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, salt) != held:
+                    if len(members) > 1:
+                        out += checked_links(members, prints, sets, similarity)
+                    held, members, prints, sets = (group, salt), [], [], []
+                members.append(member)
+                prints.append((high % 2**64) << 64 | low % 2**64)
+                sets.append(np.frombuffer(shingles, np.uint64))
+            if out:
+                yield _pairs(out)
+        if len(members) > 1 and (out := checked_links(members, prints, sets, similarity)):
+            yield _pairs(out)
+
+    return run
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_row``, a number of each row, and ``_group``, equal for rows linked by near copies."""
     spark = docs.sparkSession
@@ -200,15 +258,24 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     blocks = blocks.repartition(input_partitions(spark), "key").sortWithinPartitions("key", "member")
     links = scratch.save(blocks.mapInArrow(block_reader(), "a long, b long").distinct(), "candidates")
 
-    linked = links.select(F.col("a").alias("member")).union(links.select(F.col("b").alias("member"))).distinct()
-    needed = distinct.join(linked, "member", "left_semi")
-    texts = rows.select("_row", F.col(text_col).alias("_text")).join(needed, "_row").select("member", "_text")
-    sets = scratch.save(texts.mapInArrow(set_builder(words), "member long, shingles binary"), "sets")
-    paired = links.join(sets.select(F.col("member").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("member").alias("b"), F.col("shingles").alias("y")), "b")
-    checked = scratch.save(paired.select("a", "b", "x", "y").mapInArrow(checker(similarity), "a long, b long"), "checked")
+    # Loose groups, in parts of bounded size.
+    loose = components(links)
+    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = scratch.save(sizes, "sizes")
+    gathered = loose.join(sizes, "root").select(F.col("node").alias("member"), F.col("root").alias("group"), F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / GATHERED)).alias("salt"), "_n")
+    needed = distinct.join(gathered, "member").join(described.select("_row", "high", "low"), "_row")
+    texts = rows.select("_row", F.col(text_col).alias("_text")).join(needed, "_row").select("member", "_text", "group", "salt", "_n", "high", "low")
+    kinds = "member long, shingles binary, group long, salt long, _n long, high long, low long"
+    sets = scratch.save(texts.mapInArrow(set_builder(words), kinds), "sets")
+    together = sets.select("group", "salt", "member", "high", "low", "shingles").repartition(input_partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", "member")
+    found = together.mapInArrow(group_checker(similarity), "a long, b long")
+    large = sets.where(F.col("_n") > GATHERED)
+    across = links.join(large.select(F.col("member").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("member").alias("b"), F.col("shingles").alias("y")), "b")
+    across = across.select("a", "b", "x", "y").mapInArrow(checker(similarity), "a long, b long")
+    checked = scratch.save(found.unionByName(across), "checked")
     scratch.drop("sets")
 
-    roots = components(checked, scratch)
+    roots = components(checked)
     groups = described.select("_row", "member").join(roots, F.col("member") == F.col("node"), "left").select("_row", F.coalesce("root", "member").alias("_group"))
     groups = scratch.save(groups, "groups")
     scratch.drop("described")

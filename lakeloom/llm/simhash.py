@@ -222,7 +222,7 @@ def simhash_groups(docs: DataFrame, words: int = 5, radius: int = 2, seed: int =
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = scratch.save(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(fingerprinter(words, seed), f"_id {id_type}, _fp long"), "prints")
     distinct = scratch.save(rows.groupBy("_fp").agg(F.min("_id").alias("_first")), "distinct")
-    roots = components(scratch.save(fingerprint_links(distinct.select("_fp"), radius), "found"), scratch)
+    roots = components(scratch.save(fingerprint_links(distinct.select("_fp"), radius), "found"))
     named = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     named = scratch.save(named, "named")
     firsts = scratch.save(named.groupBy("_root").agg(F.min("_first").alias("component_id")), "firsts")
