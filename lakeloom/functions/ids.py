@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.json_values import canonical_json
 
-#: Fixed values of the published proquint alphabet.
+#: The letters of short ids. The consonants hold a q, unlike the published alphabet, and z is not used.
 CONSONANTS, VOWELS = "bdfghjklmnpqrstvz", "aiou"
 
 
