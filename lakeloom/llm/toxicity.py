@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import ALNUM_WORDS, lower_bytes, pieces_of, ship
 
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 100_000
 _BATCH = 2048
 
 
@@ -41,7 +41,7 @@ class Settings:
     hidden: int = 8
     learned: int = 4
     buckets: int = 4096
-    train_each: int = 2000
+    train_each: int = 1500
     train_chars: int = 20_000
     lexicon: int = 20_000
     epochs: int = 8
@@ -198,7 +198,8 @@ class Network:
                 else:
                     block = np.stack(held)
                 np.maximum.at(best, own, self.logits(block.T, mask))
-        return sigmoid(best * float(self.w["fit"][0]) + float(self.w["fit"][1]))
+        calibrated = sigmoid(np.where(np.isfinite(best), best, 0) * float(self.w["fit"][0]) + float(self.w["fit"][1]))
+        return np.where(np.isfinite(best), calibrated, 0.0)
 
     # Training -----------------------------------------------------------------------------------
 
@@ -268,15 +269,26 @@ class Network:
         return cls(settings, named("words", "word_strength"), named("grams", "gram_strength"), {k[2:]: held[k] for k in held.files if k.startswith("w_")})
 
 
-def strengths(toxic: list[set[bytes]], clean: list[set[bytes]], most: int) -> dict[bytes, float]:
-    """Scaled log odds of features that at least three toxic texts have, the strongest ``most`` of them."""
-    t, c = Counter(), Counter()
+def strengths(toxic: list[set[bytes]], clean: list[set[bytes]], most: int, parts=None) -> dict[bytes, float]:
+    """Scaled log odds of features that at least three toxic texts have, the strongest ``most`` of them.
+
+    ``parts`` gives the features of a word, by default itself. Texts are counted one at a time, and clean ones
+    only for features that toxic ones have.
+    """
+    features = (lambda held: set().union(*map(parts, held))) if parts else (lambda held: held)
+    bounds = np.zeros(1 << 22, np.uint16)  # how often at most, by hash, so that rare features are never held
+    for held in toxic:
+        seen = np.fromiter(map(hash, found := features(held)), np.int64, len(found))
+        bounds[np.unique(seen & (len(bounds) - 1))] += 1
+    t = Counter()
     for held in toxic:
-        t.update(held)
+        t.update(g for g in features(held) if bounds[hash(g) & (len(bounds) - 1)] >= 3)
+    t = Counter({g: n for g, n in t.items() if n >= 3})
+    c = Counter()
     for held in clean:
-        c.update(held)
+        c.update(g for g in features(held) if g in t)
     odds = lambda g: math.log((t[g] + 0.5) / (len(toxic) + 1)) - math.log((c[g] + 0.5) / (len(clean) + 1))
-    found = {g: odds(g) * (1 - 1 / t[g]) for g in t if t[g] >= 3}
+    found = {g: odds(g) * (1 - 1 / t[g]) for g in t}
     best = sorted((g for g in found if found[g] > 1), key=lambda g: (-found[g], g))[:most]
     return {g: found[g] / 4 for g in best}
 
@@ -296,14 +308,14 @@ def _families(texts: list[list[bytes]]) -> list[int]:
 
 def train(texts: list[str | None], labels: list[int], settings: Settings) -> Network | None:
     """A network from labelled texts; none without both kinds."""
-    words = [ALNUM_WORDS.findall(lower_bytes(t)) for t in texts]
+    shared: dict[bytes, bytes] = {}  # one object for each distinct word
+    words = [[shared.setdefault(w, w) for w in ALNUM_WORDS.findall(lower_bytes(t))] for t in texts]
     kept = [k for k in _families(words) if words[k]]
     words, y = [words[k] for k in kept], np.array([labels[k] for k in kept])
     if not (y == 1).any() or not (y == 0).any():
         return None
     toxic, clean = [set(words[k]) for k in np.flatnonzero(y == 1)], [set(words[k]) for k in np.flatnonzero(y == 0)]
-    spread = lambda sets: [set().union(*map(grams, held)) for held in sets]
-    net = Network(settings, strengths(toxic, clean, settings.lexicon), strengths(spread(toxic), spread(clean), settings.lexicon))
+    net = Network(settings, strengths(toxic, clean, settings.lexicon), strengths(toxic, clean, settings.lexicon, grams))
     rng = np.random.default_rng(settings.seed)
 
     # Windows to learn from: the strongest by known strength of each text, and two others of clean ones.
