@@ -107,5 +107,54 @@ QUERIES: dict[str, Query] = {
     "op10_html_text": op10_html_text,
 }
 
-#: No dealt operator's rows can be had from DuckDB's SQL at whole-table size; each is tested against brute force.
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(table: str, key: str) -> str:
+    """Words of a table's texts as a list, in DuckDB."""
+    return rf"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {table}"
+
+
+def template_pattern(markup: str) -> str:
+    """A template as a regular expression over words that each follow a blank."""
+    out, depth = "", 0
+    for token in licenses._MARK.findall(markup):
+        if token in ("[[", "(("):
+            out, depth = out + "(?:", depth + 1
+        elif token == "]]":
+            out, depth = out + ")?", depth - 1
+        elif token == "))":
+            out, depth = out + ")", depth - 1
+        elif token == "|":
+            out += "|"
+        elif token.startswith("{{"):
+            _, pattern, span = token[2:-2].rsplit(":", 2)
+            out += f"(?: {pattern.replace('.', '[^ ]')}){{{span.replace('-', ',')}}}"
+        else:
+            out += " " + token
+    return out + " "
+
+
+def licenses_sql() -> str:
+    phrases = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for label, phrase in licenses.BASE_PHRASES)
+    templates = ", ".join(f"CASE WHEN regexp_matches(line, '{template_pattern(markup)}') THEN '{label}' END" for label, markup in licenses.TEMPLATES)
+    return f"""WITH w AS ({_words_sql("documents", "doc_id")}), l AS (SELECT doc_id, ws, len(ws) AS n, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w),
+c AS (SELECT doc_id, ws, n, label, phrase, k FROM l, (VALUES {phrases}) t(label, phrase, k) WHERE contains(line, ' ' || phrase || ' ')),
+h AS (SELECT doc_id, label, i - 1 AS start FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM c) WHERE array_to_string(list_slice(ws, i, i + k - 1), ' ') = phrase),
+b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base FROM h GROUP BY doc_id),
+m AS (SELECT doc_id, list_filter([{templates}], lambda x: x IS NOT NULL) AS own FROM l)
+SELECT l.doc_id, l.n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), own))), ',') AS labels, CASE WHEN len(own) > 0 THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM l JOIN m USING (doc_id) LEFT JOIN b USING (doc_id)"""
+
+
+DECONTAMINATION_SQL = f"""WITH w AS ({_words_sql("documents", "doc_id")}), b AS (SELECT item_id, ws, greatest(len(ws) - 9, 1) AS n FROM ({_words_sql("benchmark", "item_id")}) WHERE len(ws) > 0),
+v AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 9), ' ') AS key, least(len(ws), 10) AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM b)),
+d AS (SELECT doc_id, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS key FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM v))),
+o AS (SELECT doc_id, item_id, i, k FROM d JOIN v USING (k, key)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+#: The other operators' rows cannot be had from SQL; those queries are tested against brute force.
+ORACLES: dict[str, str] = {"op8_licenses": licenses_sql(), "op9_decontamination": DECONTAMINATION_SQL}
