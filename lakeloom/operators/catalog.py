@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.names import ROOT, normalize_schema
 from lakeloom.plans.terms import RuleError
 
 #: Sortable columns by name; anything else sorts by time, newest first.
@@ -118,6 +119,30 @@ def cascade_delete(entries: DataFrame, memberships: DataFrame, collection: str)
     return kept, rest
 
 
+def add_entries(entries: DataFrame, new: DataFrame, root: str = ROOT) -> DataFrame:
+    """Appends rows whose id is new: schema names are normalised, a missing content hash is the id, the first version is 1."""
+    filled = new.withColumn("schema", normalize_schema(F.col("schema"), root))
+    for column, default in (("content_hash", F.col("id")), ("version", F.lit(1)), ("status", F.lit("unknown"))):
+        if column in entries.columns:
+            filled = filled.withColumn(column, F.coalesce(F.col(column), default) if column in new.columns else default)
+    return entries.unionByName(filled.join(entries.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def update_entries(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows take the values of ``changes`` with their id; a null change keeps the value, an unknown id is an error."""
+    if not changes.join(entries.select("id"), "id", "left_anti").isEmpty():
+        raise LookupError("a changed entry is not in the catalog")
+    columns = [c for c in changes.columns if c != "id"]
+    joined = entries.join(changes.select("id", *(F.col(c).alias(f"_{c}") for c in columns)), "id", "left")
+    return joined.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in entries.columns))
+
+
+def schema_distribution(entries: DataFrame, memberships: DataFrame, collection: str) -> DataFrame:
+    """How many records of each schema a snapshot or collection holds."""
+    own = memberships.where(F.col("collection_id") == collection).select(F.col("item_id").alias("id"))
+    return entries.join(own, "id", "left_semi").groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Versions and status ----------------------------------------------------------------------------
 
 

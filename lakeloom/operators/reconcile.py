@@ -74,6 +74,23 @@ def drift_verdict(drift: DataFrame) -> DataFrame:
     return drift.agg(F.when(F.count(F.lit(1)) == 0, "clean").otherwise("drifted").alias("verdict"), F.count_if(F.col("reason") == "missing").alias("missing"), F.count_if(F.col("reason") == "changed").alias("changed"))
 
 
+def resolve_scope(entries: DataFrame, memberships: DataFrame, snapshots: DataFrame, snapshot: str | None, origin: str) -> DataFrame:
+    """What was observed: the records of a snapshot, or those of an origin where no such snapshot is known."""
+    if snapshot is not None and not snapshots.where(F.col("snapshot_id") == snapshot).isEmpty():
+        own = memberships.where(F.col("collection_id") == snapshot).select(F.col("item_id").alias("id"))
+        return entries.join(own, "id", "left_semi")
+    return entries.where(F.col("origin") == origin)
+
+
+def drift_observation(drift: DataFrame, model: str, now: int) -> DataFrame:
+    """The verdict of a drift as one observation row with its evidence, ready to be added to the facts."""
+    evidence = F.to_json(F.array_sort(F.collect_list(F.struct("resource", "reason", "diff"))))
+    row = drift.agg(F.count(F.lit(1)).alias("n"), evidence.alias("evidence"))
+    text = F.when(F.col("n") == 0, F.lit(f"{model} is clean")).otherwise(F.concat(F.lit(f"{model} drifted: "), F.col("n").cast("string"), F.lit(" resources")))
+    args = F.to_json(F.struct(F.lit("fact").alias("kind"), text.alias("description"), F.lit(f"model:{model}").alias("scope"), F.lit("raw").alias("status")))
+    return row.select(F.lit("observation").alias("relation"), args.alias("args"), F.lit(now).cast("long").alias("valid_start"), F.lit("drift").alias("source"), F.col("evidence").alias("provenance"))
+
+
 def differential_drift(results: DataFrame) -> DataFrame:
     """Drift from ``(target, error, resources array<struct<resource, exists, matches, diff>>)``; any error is raised."""
     failed = results.where("error is not null and error <> ''").limit(1).collect()

@@ -235,6 +235,12 @@ def verify(records: DataFrame, registry: Registry, column: str = "record", schem
     return again.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def reinfer(entries: DataFrame, registry: Registry, column: str = "record") -> DataFrame:
+    """``(id, old_schema, new_schema)`` of entries whose schema inference now sees otherwise, or whose name is not normal."""
+    again = infer_schemas(entries.select("id", F.col("schema").alias("old_schema"), column), registry, column)
+    return again.where(F.col("old_schema") != F.col("schema")).select("id", "old_schema", F.col("schema").alias("new_schema"))
+
+
 # Generation -------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.ids import content_hash, proquint, resource_id
 from lakeloom.functions.json_values import canonical_json
-from lakeloom.operators.catalog import assign_versions
+from lakeloom.functions.names import resource_schema
+from lakeloom.operators.catalog import assign_versions, upsert_memberships
+from lakeloom.operators.store import Tables
 
 
 def hashed(records: DataFrame, column: str = "record") -> DataFrame:
@@ -70,3 +72,28 @@ def store_payloads(records: DataFrame, path: str, at: str, column: str = "record
     day = Window.partitionBy("content_hash").orderBy(at)
     rows = hashed(records, column).withColumn("_first", F.row_number().over(day)).where("_first = 1").drop("_first")
     rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def observation_schema(resource_type: F.Column, mapped: F.Column, loaded: F.Column, inferred: F.Column, generic: str) -> F.Column:
+    """The schema of an observed record: mapped, else by its resource type if that is loaded, else inferred, else generic."""
+    return F.coalesce(mapped, F.when(loaded, resource_schema(resource_type, generic)), inferred, F.lit(generic))
+
+
+def commit_collection(tables: Tables, collection: str, items: DataFrame, now: int) -> int:
+    """Items, their memberships and the collection's own row with the true count, in one transaction or not at all.
+
+    ``items(record, item_index)``; content that the store holds only gains a membership.
+    """
+    entry, member = "id string, entry_type string, record string, record_count long, created long", "collection_id string, item_id string, item_index long"
+    with tables.transaction() as tx:
+        held = tx.read("entries", entry)
+        fresh = hashed(items)
+        first = fresh.groupBy("content_hash").agg(F.min_by("record", "item_index").alias("record"))
+        new = first.select(F.col("content_hash").alias("id"), F.lit("item").alias("entry_type"), "record", F.lit(1).cast("long").alias("record_count"), F.lit(now).cast("long").alias("created"))
+        new = new.join(held.select("id"), "id", "left_anti")
+        places = item_memberships(fresh, collection, "item_index").select("collection_id", "item_id", F.col("item_index").cast("long"))
+        tx.write("memberships", upsert_memberships(tx.read("memberships", member), places))
+        count = places.count()
+        own = tables.spark.createDataFrame([(collection, "collection", None, count, now)], entry)
+        tx.write("entries", held.where(F.col("id") != collection).unionByName(new).unionByName(own))
+    return count

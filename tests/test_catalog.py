@@ -186,3 +186,30 @@ def test_convergence():
     assert lost.outcome == "needs-verification" and run_verdict(lost) == "unknown"
     assert run_verdict(Convergence("clean")) == "clean" and run_verdict(Convergence("failed:x")) == "failed" and run_verdict(drift_clean=True, verified=False) == ""
     assert run_verdict(drift_clean=True, checks=[{"passed": False, "severity": "fail"}]) == "drifted" and run_verdict(drift_clean=True, checks=[{"passed": False, "severity": "warn"}]) == "clean"
+
+
+def test_entries_scope_and_observation(spark, entries, members):
+    added = catalog.add_entries(entries, spark.createDataFrame([("n1", "core.#Item"), ("e1", "x")], "id string, schema string"))
+    assert added.count() == 7 and added.where("id = 'n1'").first()["schema"] == "base/core.#Item"
+    assert catalog.update_entries(added, spark.createDataFrame([("n1", "o2")], "id string, origin string")).where("id = 'n1'").first()["origin"] == "o2"
+    with pytest.raises(LookupError):
+        catalog.update_entries(added, spark.createDataFrame([("zz", "o2")], "id string, origin string"))
+    snaps = spark.createDataFrame([("c1",)], "snapshot_id string")
+    assert sorted(ids(reconcile.resolve_scope(entries, members, snaps, "c1", "Origin-0"))) == ["e1", "e2"]
+    assert sorted(ids(reconcile.resolve_scope(entries, members, snaps, "gone", "Origin-0"))) == ["e0", "e3"]
+    assert {r["schema"]: r["n"] for r in catalog.schema_distribution(entries, members, "c1").collect()} == {"aws/ec2.#X": 1, "aws/s3.#X": 1}
+    none = spark.createDataFrame([], "resource string, reason string, diff string")
+    assert "clean" in reconcile.drift_observation(none, "m", 1).first()["args"]
+
+
+def test_workspace(spark, tmp_path):
+    from lakeloom.api import Workspace
+
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "r.json").write_text(json.dumps({"mine": {"head": {"rel": "mine", "args": {"t": "$T"}}, "body": [{"rel": "link", "args": {"to": "$T"}}, {"rel": "fact_scored", "args": {"relation": "link", "id": "$I"}}]}}))
+    w = Workspace(spark, str(tmp_path / "s"), repo_paths=(str(tmp_path / "rules"),))
+    w.store.add([{"relation": "link", "args": '{"to":"b"}', "valid_start": 1, "source": "x"}], now=1)
+    assert [r["t"] for r in w.query("mine", now=5).collect()] == ["b"] and w.list_catalog().count() == 0
+    assert w.relations()["mine"] == ["t"] and w.relations()["link"] == []
+    with pytest.raises(RuleError):
+        w.query("fact_scored")

@@ -141,3 +141,15 @@ def test_incremental_ingest(spark, tmp_path):
 
     assert turn("a.ndjson", '{"n": 1}', '{"n":1}', '{"n":2}', "bad").count() == 2
     assert sorted(json.loads(r["record"])["n"] for r in turn("b.ndjson", '{"n":2}', '{"n":3}').collect()) == [1, 2, 3]
+
+
+def test_collections_commit_at_once(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "s"))
+    items = spark.createDataFrame([('{"a":1}', 0), ('{"a": 1}', 1), ('{"a":2}', 2)], "record string, item_index long")
+    assert imports.commit_collection(tables, "c1", items, 5) == 2 and tables.version() == 1
+    assert imports.commit_collection(tables, "c2", items.limit(1), 6) == 1
+    entries = tables.read("entries", "id string, entry_type string, record string, record_count long, created long")
+    assert {(r["entry_type"], r["record_count"]) for r in entries.collect()} == {("item", 1), ("collection", 2), ("collection", 1)} and entries.count() == 4
+    assert tables.read("memberships", "collection_id string, item_id string, item_index long").count() == 3
+    records = spark.createDataFrame([("x", "aws.#Closed", '{"Arn":"arn:1"}')], "id string, schema string, record string")
+    assert schemas.reinfer(records, registry()).first()["new_schema"] == "aws.#Resource"
