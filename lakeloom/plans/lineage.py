@@ -1,17 +1,27 @@
-"""Cutting long lineages with reliable checkpoints in the cluster's shared folder."""
+"""The cluster's shared folder, and cutting long lineages with reliable checkpoints there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in ``spark.checkpoint.dir``, or in a folder of our own where that is unset (tests)."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = getattr(sc, "_lakeloom_folder", None)
+        if base is None:
+            base = sc._lakeloom_folder = tempfile.mkdtemp(prefix="lakeloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lakeloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import lakeloom.queries_engine  # noqa: F401
 import lakeloom.queries_more  # noqa: F401
 from lakeloom.queries import ORACLES, QUERIES
 
