@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import ALNUM_WORDS, lower_bytes, pieces_of, ship
 
-_CACHED_WORDS = 100_000
+_CACHED_WORDS = 250_000
 _BATCH = 2048
 
 
@@ -51,7 +51,8 @@ class Settings:
 def grams(word: bytes) -> set[bytes]:
     """Character 3- to 6-grams of a word with its ends marked."""
     marked = b"<" + word[:40] + b">"
-    return {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)}
+    size = len(marked)
+    return {marked[i:j] for i in range(size - 2) for j in range(i + 3, min(i + 6, size) + 1)}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -71,12 +72,14 @@ class Network:
 
     def __init__(self, settings: Settings, words: dict[bytes, float], grams_: dict[bytes, float], weights: dict[str, np.ndarray] | None = None):
         self.s, self.words, self.grams = settings, words, grams_
+        self.gram_names = set(grams_)
         self.word_row = {w: k + 1 for k, w in enumerate(words)}
         self.width = 2 + 2 * settings.learned
         self.w = weights or self._fresh()
         self._cache: dict[bytes, int] = {}
         self._table: list[tuple] = []
         self._inputs: tuple | None = None
+        self.slim = False  # only scores: descriptions of words go once their inputs are known
 
     def _fresh(self) -> dict[str, np.ndarray]:
         rng, s = np.random.default_rng(self.s.seed), self.s
@@ -92,10 +95,11 @@ class Network:
 
     def describe(self, word: bytes) -> tuple[float, float, int, list[int]]:
         """Known word strength, known character strength, row of the word table, buckets of the character table."""
-        found = grams(word)
-        strength = max((self.grams.get(g, 0.0) for g in found), default=0.0)
-        short = [xxhash.xxh32_intdigest(g) % self.s.buckets for g in found if len(g) == 3]
-        return self.words.get(word, 0.0), strength, self.word_row.get(word, 0), sorted(short)
+        known = grams(word) & self.gram_names
+        strength = max(map(self.grams.__getitem__, known)) if known else 0.0
+        marked, digest, buckets = b"<" + word[:40] + b">", xxhash.xxh32_intdigest, self.s.buckets
+        short = {marked[i : i + 3] for i in range(len(marked) - 2)}
+        return self.words.get(word, 0.0), strength, self.word_row.get(word, 0), sorted([digest(g) % buckets for g in short])
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         cache, table = self._cache, self._table
@@ -128,6 +132,8 @@ class Network:
         done = self._inputs[0].shape[0] if self._inputs else 0
         if done < len(self._table):
             x = self.vectors(self._table[done:])
+            if self.slim:
+                self._table[done:] = [None] * (len(self._table) - done)
             new = tuple(x @ self.w[f"x{s}"] + self.w[f"c{s}"] for s in "fb")
             self._inputs = tuple(np.concatenate((a, b)) for a, b in zip(self._inputs, new)) if self._inputs else new
         return self._inputs or (np.zeros((0, 3 * self.s.hidden), np.float32),) * 2
@@ -266,7 +272,9 @@ class Network:
     def load(cls, settings: Settings, blob: bytes) -> Network:
         held = np.load(io.BytesIO(blob))
         named = lambda n, s: dict(zip(held[n].tobytes().split(b"\n"), held[s].tolist())) if len(held[s]) else {}
-        return cls(settings, named("words", "word_strength"), named("grams", "gram_strength"), {k[2:]: held[k] for k in held.files if k.startswith("w_")})
+        net = cls(settings, named("words", "word_strength"), named("grams", "gram_strength"), {k[2:]: held[k] for k in held.files if k.startswith("w_")})
+        net.slim = True
+        return net
 
 
 def strengths(toxic: list[set[bytes]], clean: list[set[bytes]], most: int, parts=None) -> dict[bytes, float]:
