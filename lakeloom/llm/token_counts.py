@@ -79,13 +79,14 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, id_col: str
     misses = distinct.join(cache.select("content_digest"), "content_digest", "left_anti").select("content_digest", "_content")
     misses.mapInArrow(encoder(model_path, tokenizer), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
-    known = (
+    known = Scratch(spark, "token-counts").save(
         spark.read.schema(CACHE_SCHEMA)
         .parquet(cache_path)
         .where(F.col("tokenizer_digest") == tokenizer)
         .groupBy("content_digest")  # two writers may have appended the same text
-        .agg(F.max("n_tokens").alias("n_tokens"))
-    )
+        .agg(F.max("n_tokens").alias("n_tokens")),
+        "known",
+    )  # written, so that the join below is between plain exchanges, which can be split where a text has many copies
     rows = keyed.select(id_col, "content_digest", F.octet_length("_content").cast("long").alias("n_bytes"))
     return rows.join(known, "content_digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
