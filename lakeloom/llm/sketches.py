@@ -176,7 +176,8 @@ def version_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    parts = input_partitions(spark) * 2
+    tasks = input_partitions(spark) * 2
+    parts = tasks * 6  # several ranges a task even out
     cuts = docs.selectExpr(f"approx_percentile(`{id_col}`, array({', '.join(str(k / parts) for k in range(1, parts))})) AS c").first()["c"] if parts > 1 else None
     cuts = sorted(set(cuts or []))
     placed = rows.withColumn("_part", F.when(F.col("_id").isNull(), 0).otherwise(_part_of(cuts)))
@@ -190,7 +191,7 @@ def version_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     peeks = rows.join(F.broadcast(firsts), F.col("_id").eqNullSafe(F.col("_i"))).where(F.sha2("_text", 256) == F.col("_d"))
     peeks = peeks.dropDuplicates(["_i", "_d", "_to"]).select("_id", "_text", F.col("_to").alias("_part"), F.when(F.col("_wraps"), 2).otherwise(1).alias("_last"))
     dealt = placed.select("_id", "_text", F.col("_part").cast("int").alias("_part"), F.lit(0).alias("_last")).unionByName(peeks)
-    dealt = dealt.repartition(parts, "_part").sortWithinPartitions("_part", "_last", F.col("_id").asc_nulls_first(), F.sha2("_text", 256))
+    dealt = dealt.repartition(tasks, "_part").sortWithinPartitions("_part", "_last", F.col("_id").asc_nulls_first(), F.sha2("_text", 256))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
