@@ -31,3 +31,15 @@ def test_pipeline_stages_take_effect(spark, entry):
         assert out.columns == docs.columns and out.count() <= kept.count()
     packed = corpus_pipeline.run(spark, ROOT)
     assert 0 < packed.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_stages_bear_odd_tables(spark, documents, clashing, nothing):
+    import corpus_pipeline
+
+    for docs in (clashing, nothing):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, ROOT)
+            assert out.columns == docs.columns and out.count() <= docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, clashing, ROOT)
+    assert packed.select("doc_id").distinct().count() == documents.select("doc_id").distinct().count()
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, ROOT).count() == 0
