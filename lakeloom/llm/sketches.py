@@ -9,7 +9,8 @@ sketches, sized by the spread of the counts and at least doubled. Likeness is tw
 
 Cases: null text is the empty text, which has no digests and is like only another empty one (1) and nothing
 else (0); repeats of a digest are told apart by their number; a text never fails, since sizes grow until
-peeling succeeds; repeated rows and null ids have a place in the order like any other row.
+peeling succeeds; repeated rows and null ids have a place in the order like any other row; ids are numbers; an
+empty table gives no rows and extra columns are ignored.
 """
 
 from __future__ import annotations
