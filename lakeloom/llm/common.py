@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -75,6 +78,14 @@ def input_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release_memory() -> None:
+    """Hands freed memory of this worker back, since a worker lives on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
 

@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SPACE_WORDS, Scratch, input_partitions, lower_bytes, pieces_of, ship
+from lakeloom.llm.common import SPACE_WORDS, Scratch, input_partitions, lower_bytes, pieces_of, release_memory, ship
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 750_000
 #: Parts of the documents: scored only, counted, and deleted from the counts while weights are learned.
 UNSEEN, KEPT, DELETED = 0, 1, 2
 _BINS, _STEP, _CONTEXTS = 1280, 16, 64
@@ -88,6 +88,8 @@ def chunker(id_type: pa.DataType):
                 serial, number, ids, parts, coded, held = serial + 1, {b"": 0}, [], [], [], 0
         if coded:
             yield out()
+        number, coded, ids = {}, [], []
+        release_memory()
 
     return run
 
@@ -97,6 +99,7 @@ def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
+    release_memory()
 
 
 class Chunk:
@@ -188,6 +191,8 @@ def add_up(group: pa.Table) -> pa.Table:
             mine = place[end - len(k) : end]
             out.append((r["chunk"], r["bucket"], size, squeeze(kept[mine]), squeeze(deleted[mine]), totals, histogram))
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    del rows, own, keys, distinct, place, sums
+    release_memory()
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["chunk", "bucket", "size", "kept", "deleted", "totals", "histogram"])
 
 
@@ -207,6 +212,8 @@ def answered(buckets: int, id_type: pa.DataType):
                 values[order] = np.concatenate([expand(r[name]) for r in answers if r["size"] == size])
                 out.append(squeeze(values))
         kinds = [pa.list_(id_type), *[pa.binary()] * 8]
+        del row, chunk, answers
+        release_memory()
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names)
 
     return run
