@@ -9,8 +9,9 @@ produce all their pairs. They make loose groups, in which the shingle sets come
 within the radius that is not connected yet is checked by its exact similarity. Checked links make the groups.
 
 Blocks are streamed in tiles of bounded size: a tile is compared with itself and with one member of every part
-found before it. A loose group of more than ``GATHERED`` members is dealt over several tasks, and the links
-between its parts are the first ones, checked one by one.
+found before it. A loose group of more than ``GATHERED`` members is dealt over several tasks. There the links
+between its parts are first the reported ones, checked one by one; then every member outside the largest group
+so found is compared with all members of other groups, in bounded units of one part against another.
 
 Cases: null text is the empty text; texts without words have equal, empty sets and form one group; shorter
 texts have their whole word sequence as their only shingle; repeated rows form a group and one row stays; an
@@ -241,6 +242,100 @@ def group_checker(similarity: float):
     return run
 
 
+def unit_checker(similarity: float):
+    """Over rows (group, j, i, side, member, root, high, low, shingles) sorted by the first four: links between members
+    of different roots. Side 0 is held, side 1 streams past it; where i is j, side 0 is compared with itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit: tuple | None = None
+        held: list[tuple[int, int, int, np.ndarray]] = []  # member, root, fingerprint, set
+        block: Block | None = None
+        above: dict[int, int] = {}
+        lanes: dict[int, int] = {}  # held members of a part, by its root
+
+        def find(r: int) -> int:
+            while (up := above.get(r, r)) != r:
+                above[r] = above.get(up, up)
+                r = up
+            return r
+
+        def ready() -> None:
+            nonlocal block
+            block = Block([h[2] for h in held], RADII[-1])
+            for k, h in enumerate(held):
+                lanes[h[1]] = lanes.get(h[1], 0) | 1 << k
+
+        def compare(row: tuple[int, int, int, np.ndarray], mask: int) -> list[tuple[int, int]]:
+            member, root, fingerprint, shingles = row
+            near = 0
+            for s, (at, _, _) in enumerate(block.slices):
+                near |= block.within(fingerprint, s) << at
+            near &= mask
+            links = []
+            while fresh := near & ~lanes.get(find(root), 0):
+                k = (fresh & -fresh).bit_length() - 1
+                near ^= 1 << k
+                if alike(shingles, held[k][3], similarity):
+                    a, b = find(root), find(held[k][1])
+                    above[b] = a
+                    lanes[a] = lanes.get(a, 0) | lanes.pop(b)
+                    links.append((member, held[k][0]))
+            return links
+
+        def finish() -> list[tuple[int, int]]:
+            links = []
+            if held and unit[1] == unit[2]:
+                ready()
+                for k, row in enumerate(held):
+                    links += compare(row, (1 << k) - 1)
+            return links
+
+        for batch in pieces_of(batches, 512):
+            out: list[tuple[int, int]] = []
+            for group, j, i, side, member, root, high, low, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, j, i) != unit:
+                    out += finish()
+                    unit, held, block, above, lanes = (group, j, i), [], None, {}, {}
+                row = (member, root, (high % 2**64) << 64 | low % 2**64, np.frombuffer(shingles, np.uint64))
+                if side == 0:
+                    held.append(row)
+                elif held:
+                    if block is None:
+                        ready()
+                    out += compare(row, -1)
+            if out:
+                yield _pairs(out)
+        if out := finish():
+            yield _pairs(out)
+
+    return run
+
+
+def links_between(scratch: Scratch, sets: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
+    """Links of alike members that ``checked`` leaves apart, in the loose groups of ``sets``. Members of the largest
+    group of each are not compared with one another; all other pairs are, in units of one part against another."""
+    roots = components(checked)
+    rooted = sets.join(roots, F.col("member") == F.col("node"), "left").select("group", "member", F.coalesce("root", "member").alias("root"))
+    rooted = scratch.save(rooted, "rooted")
+    counts = scratch.save(rooted.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")), "counts")
+    plan = counts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    plan = plan.select("group", F.col("most.root").alias("main"), F.col("most.n").alias("_main"), (F.col("all") - F.col("most.n")).alias("_others")).where("_others > 0")
+    parts = plan.select("group", "main", F.ceil(F.col("_others") / GATHERED).alias("few"), F.ceil(F.col("_main") / GATHERED).alias("many"))
+    dealt = rooted.join(scratch.save(parts, "parts"), "group").withColumn("_other", F.col("root") != F.col("main"))
+    dealt = dealt.withColumn("p", F.when(F.col("_other"), F.pmod(F.xxhash64("member", F.lit(1)), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("member", F.lit(1)), "many")))
+    # Part p of the others is held against every later part, and streams past every earlier one.
+    at = lambda j, i, side: F.struct(j.cast("long").alias("j"), i.cast("long").alias("i"), F.lit(side).alias("side"))
+    p, few, none = F.col("p"), F.col("few"), F.array().cast("array<struct<j:bigint,i:bigint,side:int>>")
+    upto = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    holds = F.when(F.col("_other"), F.transform(upto(p, few + F.col("many") - 1), lambda i: at(p, i, 0))).otherwise(none)
+    passes = F.transform(upto(F.lit(0).cast("long"), F.least(p, few) - 1), lambda j: at(j, p, 1))
+    units = dealt.select("member", "root", F.explode(F.concat(holds, passes)).alias("u"))
+    units = units.join(sets.select("member", "group", "high", "low", "shingles"), "member")
+    units = units.select("group", "u.j", "u.i", "u.side", "member", "root", "high", "low", "shingles")
+    units = units.repartition(input_partitions(sets.sparkSession), "group", "j", "i").sortWithinPartitions("group", "j", "i", "side", "member")
+    return units.mapInArrow(unit_checker(similarity), "a long, b long")
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_row``, a number of each row, and ``_group``, equal for rows linked by near copies."""
     spark = docs.sparkSession
@@ -273,6 +368,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     across = links.join(large.select(F.col("member").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("member").alias("b"), F.col("shingles").alias("y")), "b")
     across = across.select("a", "b", "x", "y").mapInArrow(checker(similarity), "a long, b long")
     checked = scratch.save(found.unionByName(across), "checked")
+    if sizes.where(F.col("_n") > GATHERED).limit(1).count():
+        between = scratch.save(links_between(scratch, large, checked, similarity), "between")
+        checked = checked.unionByName(between)
     scratch.drop("sets")
 
     roots = components(checked)

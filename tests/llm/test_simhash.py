@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from lakeloom.llm import near_duplicates
 from lakeloom.llm.common import SPACE_WORDS, lower_bytes
 from lakeloom.llm.components import components
 from lakeloom.llm.near_duplicates import near_duplicate_groups, one_of_each, shingle_set
@@ -103,3 +104,30 @@ def test_near_copies_by_similarity(spark, documents, nothing):
     assert one_of_each(nothing).count() == 0
     kept = one_of_each(documents)
     assert kept.columns == documents.columns and len({(r["text"] or "").lower().split().__str__() for r in kept.collect()}) == kept.count()
+
+
+def same_groups(docs, rows):
+    """Groups of row numbers as found, and by brute force."""
+    sets = [set(shingle_set(t, 5).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0]
+    want = groups_of(range(len(rows)), links)
+    got = {}
+    for r in near_duplicate_groups(docs).collect():
+        got.setdefault(r["_group"], []).append(r["doc_id"])
+    return sorted(map(sorted, got.values())), sorted(sorted(k for k in want if want[k] == root) for root in set(want.values()))
+
+
+def test_copies_in_parts_of_a_large_loose_group(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "GATHERED", 30)
+    rng = random.Random(22)
+    rows = []
+    for family in range(2):  # copies are near the base, and few are near one another
+        base = [f"f{family}w{k}" for k in range(204)]
+        rows.append((len(rows), " ".join(base)))
+        for copy in range(150):
+            changed = list(base)
+            for k in rng.sample(range(0, 204, 5), 4 if copy % 3 else 5):
+                changed[k] = f"c{copy}x{k}"
+            rows.append((len(rows), " ".join(changed)))
+    got, want = same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert got == want
