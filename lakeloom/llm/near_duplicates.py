@@ -9,7 +9,8 @@ produce all their pairs. They make loose groups, in which the shingle sets come
 within the radius that is not connected yet is checked by its exact similarity. Checked links make the groups.
 
 Blocks are streamed in tiles of bounded size: a tile is compared with itself and with one member of every part
-found before it. A loose group of more than ``GATHERED`` members is dealt over several tasks. There the links
+found before it; the parts that are left in a block of several tiles are linked too, so that all its members are in
+one loose group, where the rest of their pairs is compared. A loose group of more than ``GATHERED`` members is dealt over several tasks. There the links
 between its parts are first the reported ones, checked one by one; then every member outside the largest group
 so found is compared with all members of other groups, in bounded units of one part against another.
 
@@ -115,13 +116,19 @@ def block_reader():
         members: list[int] = []
         prints: list[int] = []
         seen: set[int] = set()
-        roots = 0
+        roots = tiles = 0
 
         def tile() -> None:
-            nonlocal members, prints, roots
+            nonlocal members, prints, roots, tiles
             links, parts = tile_links(members, prints, roots)
             out.extend(links)
-            members, prints, roots = [members[k] for k in parts], [prints[k] for k in parts], len(parts)
+            members, prints, roots, tiles = [members[k] for k in parts], [prints[k] for k in parts], len(parts), tiles + 1
+
+        def finish() -> None:
+            if len(members) > max(1, roots):
+                tile()
+            if tiles > 1:
+                out.extend((members[0], m) for m in members[1:])
 
         held = None
         for batch in batches:
@@ -134,9 +141,8 @@ def block_reader():
             for k in np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(key))).tolist():
                 s, e = int(starts[k]), int(ends[k])
                 if key[s] != held:
-                    if len(members) > max(1, roots):
-                        tile()
-                    held, members, prints, roots, seen = key[s], [], [], 0, set()
+                    finish()
+                    held, members, prints, roots, tiles, seen = key[s], [], [], 0, 0, set()
                 for m, h, w in zip(member[s:e].tolist(), high[s:e].tolist(), low[s:e].tolist()):
                     if m not in seen:
                         seen.add(m)
@@ -147,8 +153,7 @@ def block_reader():
             if out:
                 yield _pairs(out)
                 out = []
-        if len(members) > max(1, roots):
-            tile()
+        finish()
         if out:
             yield _pairs(out)
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -131,3 +132,22 @@ def test_copies_in_parts_of_a_large_loose_group(spark, monkeypatch):
             rows.append((len(rows), " ".join(changed)))
     got, want = same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
     assert got == want
+
+
+def test_blocks_of_several_tiles_keep_near_members_together(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "TILE", 16)
+    rng = random.Random(5)
+    prints = []
+    for _ in range(12):  # chains that lead away from their first print
+        at = rng.getrandbits(128)
+        for _ in range(15):
+            prints.append(at)
+            at ^= sum(1 << b for b in rng.sample(range(128), 18))
+    rng.shuffle(prints)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    columns = [[7] * len(prints), list(range(len(prints))), [signed(v >> 64) for v in prints], [signed(v % 2**64) for v in prints]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "member", "high", "low"])
+    links = [pair for b in near_duplicates.block_reader()(iter([batch])) for pair in zip(*(c.to_pylist() for c in b.columns))]
+    loose = groups_of(range(len(prints)), links)
+    radius = near_duplicates.RADII[-1]
+    assert all(loose[i] == loose[j] for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius)
