@@ -151,3 +151,19 @@ def test_blocks_of_several_tiles_keep_near_members_together(monkeypatch):
     loose = groups_of(range(len(prints)), links)
     radius = near_duplicates.RADII[-1]
     assert all(loose[i] == loose[j] for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius)
+
+
+def test_short_near_copies_are_within_the_radius():
+    texts = []
+    for k in range(1000):  # 8 and 9 words: 4 and 5 shingles, a similarity of 0.8
+        words = [f"p{k}w{i}" for i in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    highs, lows = [], []
+    for out in near_duplicates.describer(5)(iter([batch])):
+        highs += out.column(2).to_pylist()
+        lows += out.column(3).to_pylist()
+    prints = [(h % 2**64) << 64 | w % 2**64 for h, w in zip(highs, lows)]
+    sets = [shingle_set(t, 5) for t in texts]
+    missed = sum(not near_duplicates.checked_links([0, 1], prints[k : k + 2], sets[k : k + 2], 0.8) for k in range(0, len(texts), 2))
+    assert missed == 0
