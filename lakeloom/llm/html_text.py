@@ -3,9 +3,10 @@
 Markup is stripped into lines, one for each block element; scripts, styles, forms, navigation and other
 parts that the markup itself names as boilerplate leave empty lines. A line weighs as many characters as it
 has outside links. Weights are summed over sliding windows of lines; a surge is where that sum rises to the
-level of running text, a dive where it falls to nothing, and the text between them is kept. Inside an
-article or main element any text is running text, and lines outside it weigh nothing; elsewhere a window has
-to reach ``surge`` characters, so short stray lines do not start a passage.
+level of running text, a dive where it falls to nothing, and the text between them is kept. A window has to
+reach ``surge`` characters, so short stray lines do not start a passage. Lines inside an article or main
+element have a bonus of that many characters; running text outside is kept on the same page by its own weight.
+A passage ends where such an element starts or ends, so that the bonus does not reach lines outside.
 
 Cases: null or empty html gives the empty text; unclosed elements, comments and quotes end with the page;
 repeated rows each get a row; an empty table gives no rows; extra columns are ignored.
@@ -173,9 +174,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    focused = any(line.inside and line.text for line in lines)
-    weights = [line.weight if line.inside or not focused else 0 for line in lines]
-    level = 1 if focused else surge
+    weights = [line.weight + surge if line.inside else line.weight for line in lines]
     keep = [False] * len(lines)
     at = 0
     while at < len(lines):
@@ -183,10 +182,10 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
             at += 1
             continue
         end = at  # a passage of lines with weight; the window slides within it
-        while end < len(lines) and weights[end]:
+        while end < len(lines) and weights[end] and lines[end].inside == lines[at].inside:
             end += 1
         sums = [sum(weights[k : min(k + window, end)]) for k in range(at, end)]
-        first = next((k for k, s in enumerate(sums) if s >= level), None)
+        first = next((k for k, s in enumerate(sums) if s >= surge), None)
         if first is not None:
             for k in range(at + first, end):  # up to the dive, where the sum is nothing
                 keep[k] = True

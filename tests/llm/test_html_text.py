@@ -35,6 +35,13 @@ def test_pages_without_an_article_need_running_text():
     assert main_text(page) == f"{long.strip()}\n\nEnd of it."
 
 
+def test_running_text_outside_an_article_is_kept():
+    long = "This is a sentence of some length that goes on for a while. " * 3
+    teaser = "<article><h2>Teaser</h2><p>Read on.</p></article>"
+    page = f"<body><p>Short.</p>{teaser}<div class='content'><p>{long}</p><p>End of it.</p></div><ul><li><a href=x>{long}</a></li></ul>{teaser}<p>Stray.</p></body>"
+    assert main_text(page) == f"Teaser\n\nRead on.\n\n{long.strip()}\n\nEnd of it.\n\nTeaser\n\nRead on."
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumnRenamed("url", "url")
     rows = extract_pages(pages).collect()
