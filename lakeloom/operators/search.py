@@ -113,8 +113,8 @@ def bm25(texts: DataFrame, query_words: list[str], id_col: str, text_col: str) -
     return rows.where(any_word).select(id_col, score.alias("score"))
 
 
-def search(facts: DataFrame, query: str, relation: str | None = None, limit: int = 20) -> DataFrame:
-    """Current facts that match, best first."""
+def search(facts: DataFrame, query: str, relation: str | None = None, limit: int | None = 20) -> DataFrame:
+    """Current facts that match, best first; all of them where ``limit`` is None."""
     live = facts.where("valid_end is null and tx_end is null")
     if relation is not None:
         live = live.where(F.col("relation") == relation)
@@ -122,7 +122,8 @@ def search(facts: DataFrame, query: str, relation: str | None = None, limit: int
     hits = live.where(match(query, tokens(F.col("_text"))))
     words = [w for w in re.findall(r"[\w]+", query.lower()) if w not in ("and", "or", "not")]
     ranked = hits.join(bm25(live, words, "id", "_text"), "id", "left")
-    return ranked.orderBy(F.desc_nulls_last("score"), "id").limit(limit).drop("_text")
+    ranked = ranked.orderBy(F.desc_nulls_last("score"), "id").drop("_text")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def memory_context(facts: DataFrame, query: str, now: int, limit: int = 10) -> DataFrame:

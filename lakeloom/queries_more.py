@@ -178,7 +178,7 @@ def j11_o4_search_facts(spark, path):
     d = Data(spark, path).documents
     none = F.lit(None)
     f = d.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("r_"), "source").alias("relation"), F.to_json(F.struct("text")).alias("args"), none.cast("long").alias("valid_end"), none.cast("long").alias("tx_end"))
-    return search.search(f, "license", relation="r_src3", limit=10_000).select(F.col("id").cast("long").alias("doc_id"))
+    return search.search(f, "license", relation="r_src3", limit=None).select(F.col("id").cast("long").alias("doc_id"))
 
 
 # Catalog changes --------------------------------------------------------------------------------

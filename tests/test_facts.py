@@ -142,3 +142,11 @@ def test_store(spark, tmp_path):
         FactStore(spark, str(tmp_path / "none"), read_only=True)
     with pytest.raises(PermissionError):
         FactStore(spark, str(tmp_path / "s"), read_only=True).retract("x", 1)
+
+
+def test_search_query_lists_all_matches(spark, tmp_path):
+    from lakeloom.queries_more import j11_o4_search_facts
+
+    docs = spark.range(10_050).selectExpr("id AS doc_id", "'a license line' AS text", "'en' AS lang", "'src3' AS source", "14L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert j11_o4_search_facts(spark, str(tmp_path)).count() == 10_050
