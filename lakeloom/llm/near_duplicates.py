@@ -3,20 +3,21 @@
 Texts with the same set of shingles are one member. A member has a 128-bit SimHash of its distinct shingles and
 seven minima of re-scrambled shingle hashes; members that share any two minima meet in a block. At a similarity
 of 0.8 a pair misses all its 21 blocks with a chance of 4 in 10,000, above 0.9 with less than one in a million.
-In a block the fingerprints are compared by bit planes (see :mod:`lakeloom.llm.simhash`) at rising radii, and
-the links that first connect two parts are reported, at most as many as members, so that large groups never
-produce all their pairs. They make loose groups, in which the shingle sets come together once, and every pair
-within the radius that is not connected yet is checked by its exact similarity. Checked links make the groups.
+In a block the fingerprints are compared by bit planes (see :mod:`lakeloom.llm.simhash`), and the links that first
+connect two parts are reported, at most as many as members, so that large groups never produce all their pairs.
+They make loose groups, in which the shingle sets come together once, and every pair within the radius that is
+not connected yet is checked by its exact similarity. Checked links make the groups.
 
-Blocks are streamed in tiles of bounded size: a tile is compared with itself and with one member of every part
-found before it; the parts that are left in a block of several tiles are linked too, so that all its members are in
-one loose group, where the rest of their pairs is compared. A loose group of more than ``GATHERED`` members is dealt over several tasks. There the links
-between its parts are first the reported ones, checked one by one; then every member outside the largest group
-so found is compared with all members of other groups, in bounded units of one part against another.
+No task holds a whole block or loose group. One of more than ``TILE`` members or ``SHINGLES`` shingles is dealt into parts by hash, and
+compared in units: a part with itself, and a part that is held with another that streams past it, so that every
+pair meets in one unit. In a large loose group the parts are first compared with themselves and along the links
+that were reported; every member outside the largest group so found is then compared with all members of other
+groups, in units. Sizes decide only how the pairs are dealt over tasks, never which pairs are compared.
 
 Cases: null text is the empty text; texts without words have equal, empty sets and form one group; shorter
-texts have their whole word sequence as their only shingle; repeated rows form a group and one row stays; an
-empty table stays empty; further columns are carried along.
+texts have their whole word sequence as their only shingle; very long texts have sets as long as they are; repeated
+rows form a group and one row stays; an empty table stays empty; further columns are carried along, and may not be
+named ``_row`` or ``_group`` (an error says so).
 """
 
 from __future__ import annotations
@@ -34,10 +35,13 @@ from lakeloom.llm.common import Scratch, input_partitions, pieces_of, ship
 from lakeloom.llm.components import components
 from lakeloom.llm.simhash import Block, majority, shingle_hashes
 
-MINIMA, TILE, GATHERED = 7, 2048, 1500
+MINIMA = 7
+#: Members, and shingles of their sets, of a part.
+TILE, SHINGLES = 2048, 4_000_000
 #: Differing bits of 128. At a similarity of 0.8, 19 bits differ on average, and over 42 of them with a chance of 2 in
 #: 10 million. Sets of 4 and 5 shingles are the worst: 24 bits on average, over 42 with a chance of 5 in 100,000.
-RADII = (8, 14, 20, 31, 42)
+#: The first radius joins most near copies, so that few pairs are left to compare at the second.
+RADII = (22, 42)
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -54,15 +58,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def describer(words: int):
-    """Rows (key, text) to (key, member, fingerprint halves, block keys)."""
+    """Rows (key, text) to (key, member, size of its set, fingerprint halves, block keys)."""
     pairs = list(combinations(range(MINIMA), 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 256):
-            member, high, low, keys = [], [], [], []
+            member, size, high, low, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, words)
                 member.append(xxhash.xxh64_intdigest(found.tobytes(), 3))
+                size.append(len(found))
                 high.append(majority(scramble(found, 101)))
                 low.append(majority(scramble(found, 102)))
                 least = [int(scramble(found, k + 1).min()) if len(found) else 0 for k in range(MINIMA)]
@@ -70,87 +75,150 @@ def describer(words: int):
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             flat = np.array(keys, np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(pairs)), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(member), signed(high), signed(low), lists], ["_row", "member", "high", "low", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(member), pa.array(size, pa.int64()), signed(high), signed(low), lists], ["_row", "member", "size", "high", "low", "keys"])
 
     return run
 
 
-def tile_links(members: list[int], prints: list[int], roots: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of a tile in order of rising radius, and the places of one member of each part; the first ``roots``
-    places are members of parts that are known to be apart."""
-    parent = list(range(len(members)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    place: dict[int, list[int]] = {}
-    for i, p in enumerate(prints):
-        place.setdefault(p, []).append(i)
-    links = []
-
-    def join(i: int, j: int) -> None:
-        a, b = sorted((find(i), find(j)))
+class Unit:
+    """Members held in order of their size, compared with themselves or with members that stream past them.
+
+    With shingle sets, a link is a pair whose sets are alike; without them, a pair within the radius whose sizes
+    allow the similarity. Only pairs that links do not connect yet are compared exactly.
+    """
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.members: list[int] = []
+        self.roots: list[int] = []
+        self.prints: list[int] = []
+        self.sizes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.block: Block | None = None
+        self.above: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def hold(self, member: int, root: int, fingerprint: int, size: int, shingles: np.ndarray | None) -> None:
+        self.members.append(member)
+        self.roots.append(root)
+        self.prints.append(fingerprint)
+        self.sizes.append(size)
+        if shingles is not None:
+            self.sets.append(shingles)
+
+    def find(self, r: int) -> int:
+        while (up := self.above.get(r, r)) != r:
+            self.above[r] = self.above.get(up, up)
+            r = up
+        return r
+
+    def _ready(self) -> None:
+        self.block = Block(self.prints, RADII[-1], bits=128)
+        self.bounds = np.array(self.sizes)
+        self.lanes: dict[int, int] = {}  # held members of a part, by its root
+        for k, root in enumerate(self.roots):
+            self.lanes[root] = self.lanes.get(root, 0) | 1 << k
+        if self.sets:
+            self.starts = np.concatenate(([0], np.cumsum(self.bounds)))
+            self.names, self.local = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.mark = np.zeros(len(self.names) + 1, np.int32)
+
+    def _alike(self, shingles: np.ndarray, lanes: int) -> list[int]:
+        """Those of the lanes whose sets are alike to the given one, compared together."""
+        raw = np.frombuffer(lanes.to_bytes((len(self.members) + 7) // 8, "little"), np.uint8)
+        at = np.flatnonzero(np.unpackbits(raw, bitorder="little"))
+        if not len(shingles):
+            return at.tolist()  # only equal, empty sets have the size
+        spots = np.searchsorted(self.names, shingles)
+        spots[spots == len(self.names)] = 0
+        spots = spots[self.names[spots] == shingles]
+        self.mark[spots] = 1
+        if len(at) < 8:
+            both = np.array([self.mark[self.local[self.starts[k] : self.starts[k + 1]]].sum() for k in at.tolist()])
+        else:
+            sums = np.concatenate(([0], np.cumsum(self.mark[self.local[self.starts[at[0]] : self.starts[at[-1] + 1]]])))
+            both = sums[self.starts[at + 1] - self.starts[at[0]]] - sums[self.starts[at] - self.starts[at[0]]]
+        self.mark[spots] = 0
+        return at[both >= self.similarity * (len(shingles) + self.bounds[at] - both) - 1e-9].tolist()
+
+    def _compare(self, member: int, root: int, fingerprint: int, size: int, shingles: np.ndarray | None, lanes: int, radius: int) -> None:
+        low = int(np.searchsorted(self.bounds, self.similarity * size - 1e-9))
+        high = int(np.searchsorted(self.bounds, size / self.similarity + 1e-9, "right"))
+        lanes &= (1 << high) - (1 << low)
+        lanes &= ~self.lanes.get(self.find(root), 0)
+        near = 0
+        if lanes > 0:
+            for s, (at, _, _) in enumerate(self.block.slices):
+                near |= self.block.within(fingerprint, s, radius) << at
+        fresh = near & lanes
+        if not fresh:
+            return
+        if shingles is None:
+            while fresh:
+                k = (fresh & -fresh).bit_length() - 1
+                self._join(member, root, k)
+                fresh &= ~self.lanes[self.find(root)]
+        else:
+            for k in self._alike(shingles, fresh):
+                self._join(member, root, k)
+
+    def _join(self, member: int, root: int, k: int) -> None:
+        a, b = self.find(root), self.find(self.roots[k])
         if a != b:
-            parent[b] = a
-            links.append((members[i], members[j]))
-
-    for same in place.values():  # different sets with equal fingerprints
-        for j in same[1:]:
-            join(same[0], j)
-    for radius in RADII:
-        apart = sorted({find(i) for i in range(len(members))})
-        if len(apart) < 2:
-            break
-        for a, b in Block(list(place), radius).forest():
-            join(place[a][0], place[b][0])
-    return links, sorted({find(i) for i in range(len(members))})
-
-
-def block_reader():
-    """Over rows (key, member, high, low) sorted by key: the links of every block."""
+            self.above[b] = a
+            self.lanes[a] = self.lanes.get(a, 0) | self.lanes.pop(b, 0)
+            self.links.append((member, self.members[k]))
+
+    def with_itself(self) -> list[tuple[int, int]]:
+        self._ready()
+        for radius in RADII:
+            if len(self.lanes) < 2:
+                break
+            for k, row in enumerate(zip(self.members, self.roots, self.prints, self.sizes, self.sets or [None] * len(self.members))):
+                self._compare(*row, (1 << k) - 1, radius)
+        return self.links
+
+    def with_others(self, rows: list[tuple]) -> list[tuple[int, int]]:
+        if self.block is None:
+            self._ready()
+        self.links = []
+        for radius in RADII:
+            for row in rows:
+                self._compare(*row, (1 << len(self.members)) - 1, radius)
+        return self.links
+
+
+def linker(similarity: float, exact: bool):
+    """Over rows (group, j, i, side, size, member, root, high, low, and shingles if exact) sorted in that order: the
+    links of every unit. Side 0 is held, side 1 streams past it; where i is j, side 0 is compared with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        unit = Unit(similarity)
         out: list[tuple[int, int]] = []
-        members: list[int] = []
-        prints: list[int] = []
-        seen: set[int] = set()
-        roots = tiles = 0
-
-        def tile() -> None:
-            nonlocal members, prints, roots, tiles
-            links, parts = tile_links(members, prints, roots)
-            out.extend(links)
-            members, prints, roots, tiles = [members[k] for k in parts], [prints[k] for k in parts], len(parts), tiles + 1
 
         def finish() -> None:
-            if len(members) > max(1, roots):
-                tile()
-            if tiles > 1:
-                out.extend((members[0], m) for m in members[1:])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, member, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if held and held[1] == held[2] and len(unit.members) > 1:
+                out.extend(unit.with_itself())
+
+        for batch in pieces_of(batches, 512 if exact else 1 << 20):
+            group, j, i, side, size, member, root, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(9))
             high, low = high.view(np.uint64), low.view(np.uint64)
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            for k in np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(key))).tolist():
+            cuts = np.flatnonzero((group[1:] != group[:-1]) | (j[1:] != j[:-1]) | (i[1:] != i[:-1])) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(group)]))
+            for k in np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(group))).tolist():
                 s, e = int(starts[k]), int(ends[k])
-                if key[s] != held:
+                if (name := (group[s], j[s], i[s])) != held:
                     finish()
-                    held, members, prints, roots, tiles, seen = key[s], [], [], 0, 0, set()
-                for m, h, w in zip(member[s:e].tolist(), high[s:e].tolist(), low[s:e].tolist()):
-                    if m not in seen:
-                        seen.add(m)
-                        members.append(m)
-                        prints.append(h << 64 | w)
-                        if len(members) - roots >= TILE:
-                            tile()
+                    held, unit = name, Unit(similarity)
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(9).slice(s, e - s).to_pylist()] if exact else [None] * (e - s)
+                prints = [h << 64 | w for h, w in zip(high[s:e].tolist(), low[s:e].tolist())]
+                rows = list(zip(member[s:e].tolist(), root[s:e].tolist(), prints, size[s:e].tolist(), sets))
+                first = int(np.searchsorted(side[s:e], 1))
+                for row in rows[:first]:
+                    unit.hold(*row)
+                if first < len(rows) and unit.members:
+                    out.extend(unit.with_others(rows[first:]))
             if out:
                 yield _pairs(out)
                 out = []
@@ -161,6 +229,28 @@ def block_reader():
     return run
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``p``, ``few`` and ``many`` to a row for each unit of theirs: part p is one of ``few`` that are held,
+    against themselves and every later part, or one of ``many`` that only stream past those."""
+    place = lambda j, i, side: F.struct(j.cast("long").alias("j"), i.cast("long").alias("i"), F.lit(side).alias("side"))
+    p, few, many = (F.col(c) for c in ("p", "few", "many"))
+    upto = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    holds = F.transform(upto(p, F.when(p < few, few + many - 1).otherwise(-1)), lambda i: place(p, i, 0))
+    passes = F.transform(upto(F.lit(0).cast("long"), F.least(p, few) - 1), lambda j: place(j, p, 1))
+    return rows.select("*", F.explode(F.concat(holds, passes)).alias("_u")).select("*", "_u.*").drop("_u", "p", "few", "many")
+
+
+_UNIT = ["group", "j", "i", "side", "size", "member", "root", "high", "low"]
+
+
+def unit_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links of the units in ``rows``, which have the columns ``_UNIT`` and may have ``shingles``."""
+    exact = "shingles" in rows.columns
+    rows = rows.select(*_UNIT, *(["shingles"] if exact else []))
+    rows = rows.repartition(input_partitions(rows.sparkSession), "group", "j", "i").sortWithinPartitions(*_UNIT[:6])
+    return rows.mapInArrow(linker(similarity, exact), "a long, b long")
+
+
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     both = np.array(links, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], ["a", "b"])
@@ -197,186 +287,69 @@ def checker(similarity: float):
     return run
 
 
-def checked_links(members: list[int], prints: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all members that chains of alike pairs within the radius connect."""
-    block = Block(prints, RADII[-1])
-    part = list(range(len(members)))
-    lanes = {i: 1 << i for i in part}  # members of a part, by its first
-    links = []
-    for i in range(len(members)):
-        near = 0
-        for s, (at, _, _) in enumerate(block.slices):
-            near |= block.within(prints[i], s) << at
-        tried = (1 << (i + 1)) - 1  # pairs with earlier members have been tried from there
-        while fresh := near & ~tried & ~lanes[part[i]]:
-            j = (fresh & -fresh).bit_length() - 1
-            tried |= 1 << j
-            if alike(sets[i], sets[j], similarity):
-                a, b = sorted((part[i], part[j]))
-                rest = lanes.pop(b)
-                lanes[a] |= rest
-                while rest:
-                    part[(rest & -rest).bit_length() - 1] = a
-                    rest &= rest - 1
-                links.append((members[i], members[j]))
-    return links
-
-
-def group_checker(similarity: float):
-    """Over rows (group, salt, member, high, low, shingles) sorted by the first two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        members: list[int] = []
-        prints: list[int] = []
-        sets: list[np.ndarray] = []
-        for batch in pieces_of(batches, 512):
-            out: list[tuple[int, int]] = []
-            for group, salt, member, high, low, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if (group, salt) != held:
-                    if len(members) > 1:
-                        out += checked_links(members, prints, sets, similarity)
-                    held, members, prints, sets = (group, salt), [], [], []
-                members.append(member)
-                prints.append((high % 2**64) << 64 | low % 2**64)
-                sets.append(np.frombuffer(shingles, np.uint64))
-            if out:
-                yield _pairs(out)
-        if len(members) > 1 and (out := checked_links(members, prints, sets, similarity)):
-            yield _pairs(out)
-
-    return run
-
-
-def unit_checker(similarity: float):
-    """Over rows (group, j, i, side, member, root, high, low, shingles) sorted by the first four: links between members
-    of different roots. Side 0 is held, side 1 streams past it; where i is j, side 0 is compared with itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit: tuple | None = None
-        held: list[tuple[int, int, int, np.ndarray]] = []  # member, root, fingerprint, set
-        block: Block | None = None
-        above: dict[int, int] = {}
-        lanes: dict[int, int] = {}  # held members of a part, by its root
-
-        def find(r: int) -> int:
-            while (up := above.get(r, r)) != r:
-                above[r] = above.get(up, up)
-                r = up
-            return r
-
-        def ready() -> None:
-            nonlocal block
-            block = Block([h[2] for h in held], RADII[-1])
-            for k, h in enumerate(held):
-                lanes[h[1]] = lanes.get(h[1], 0) | 1 << k
-
-        def compare(row: tuple[int, int, int, np.ndarray], mask: int) -> list[tuple[int, int]]:
-            member, root, fingerprint, shingles = row
-            near = 0
-            for s, (at, _, _) in enumerate(block.slices):
-                near |= block.within(fingerprint, s) << at
-            near &= mask
-            links = []
-            while fresh := near & ~lanes.get(find(root), 0):
-                k = (fresh & -fresh).bit_length() - 1
-                near ^= 1 << k
-                if alike(shingles, held[k][3], similarity):
-                    a, b = find(root), find(held[k][1])
-                    above[b] = a
-                    lanes[a] = lanes.get(a, 0) | lanes.pop(b)
-                    links.append((member, held[k][0]))
-            return links
-
-        def finish() -> list[tuple[int, int]]:
-            links = []
-            if held and unit[1] == unit[2]:
-                ready()
-                for k, row in enumerate(held):
-                    links += compare(row, (1 << k) - 1)
-            return links
-
-        for batch in pieces_of(batches, 512):
-            out: list[tuple[int, int]] = []
-            for group, j, i, side, member, root, high, low, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if (group, j, i) != unit:
-                    out += finish()
-                    unit, held, block, above, lanes = (group, j, i), [], None, {}, {}
-                row = (member, root, (high % 2**64) << 64 | low % 2**64, np.frombuffer(shingles, np.uint64))
-                if side == 0:
-                    held.append(row)
-                elif held:
-                    if block is None:
-                        ready()
-                    out += compare(row, -1)
-            if out:
-                yield _pairs(out)
-        if out := finish():
-            yield _pairs(out)
-
-    return run
-
-
 def links_between(scratch: Scratch, sets: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
     """Links of alike members that ``checked`` leaves apart, in the loose groups of ``sets``. Members of the largest
     group of each are not compared with one another; all other pairs are, in units of one part against another."""
     roots = components(checked)
-    rooted = sets.join(roots, F.col("member") == F.col("node"), "left").select("group", "member", F.coalesce("root", "member").alias("root"))
+    rooted = sets.join(roots, F.col("member") == F.col("node"), "left").select("group", "member", "size", F.coalesce("root", "member").alias("root"))
     rooted = scratch.save(rooted, "rooted")
-    counts = scratch.save(rooted.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")), "counts")
-    plan = counts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    plan = plan.select("group", F.col("most.root").alias("main"), F.col("most.n").alias("_main"), (F.col("all") - F.col("most.n")).alias("_others")).where("_others > 0")
-    parts = plan.select("group", "main", F.ceil(F.col("_others") / GATHERED).alias("few"), F.ceil(F.col("_main") / GATHERED).alias("many"))
-    dealt = rooted.join(scratch.save(parts, "parts"), "group").withColumn("_other", F.col("root") != F.col("main"))
-    dealt = dealt.withColumn("p", F.when(F.col("_other"), F.pmod(F.xxhash64("member", F.lit(1)), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("member", F.lit(1)), "many")))
-    # Part p of the others is held against every later part, and streams past every earlier one.
-    at = lambda j, i, side: F.struct(j.cast("long").alias("j"), i.cast("long").alias("i"), F.lit(side).alias("side"))
-    p, few, none = F.col("p"), F.col("few"), F.array().cast("array<struct<j:bigint,i:bigint,side:int>>")
-    upto = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    holds = F.when(F.col("_other"), F.transform(upto(p, few + F.col("many") - 1), lambda i: at(p, i, 0))).otherwise(none)
-    passes = F.transform(upto(F.lit(0).cast("long"), F.least(p, few) - 1), lambda j: at(j, p, 1))
-    units = dealt.select("member", "root", F.explode(F.concat(holds, passes)).alias("u"))
-    units = units.join(sets.select("member", "group", "high", "low", "shingles"), "member")
-    units = units.select("group", "u.j", "u.i", "u.side", "member", "root", "high", "low", "shingles")
-    units = units.repartition(input_partitions(sets.sparkSession), "group", "j", "i").sortWithinPartitions("group", "j", "i", "side", "member")
-    return units.mapInArrow(unit_checker(similarity), "a long, b long")
+    counts = scratch.save(rooted.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")), "counts")
+    plan = counts.groupBy("group").agg(F.max(F.struct("n", "root", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    plan = plan.select("group", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("n"), (F.col("s") - F.col("most.s")).alias("s"), "most").where("n > 0")
+    parts = plan.select("group", "main", _parts("n", "s").alias("few"), _parts("most.n", "most.s").alias("many"))
+    placed = rooted.join(scratch.save(parts, "parts"), "group")
+    h = F.xxhash64("member", F.lit(1))
+    placed = placed.withColumn("p", F.when(F.col("root") != F.col("main"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
+    units = dealt(placed.select("member", "root", "p", "few", "many"))
+    units = units.join(sets.select("member", "group", "size", "high", "low", "shingles"), "member")
+    return unit_links(units, similarity)
+
+
+def _parts(n: str, size: str) -> F.Column:
+    """How many parts so many members with so many shingles are dealt into."""
+    return F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(size) / SHINGLES), F.lit(1)).cast("long")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_row``, a number of each row, and ``_group``, equal for rows linked by near copies."""
     spark = docs.sparkSession
     ship(spark)
+    if clash := {"_row", "_group"}.intersection(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are added here and must not be in the table")
     scratch = Scratch(spark, "near-duplicates")
     rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    described = rows.select("_row", F.col(text_col).alias("_text")).mapInArrow(describer(words), "_row long, member long, high long, low long, keys array<long>")
+    described = rows.select("_row", F.col(text_col).alias("_text")).mapInArrow(describer(words), "_row long, member long, size long, high long, low long, keys array<long>")
     described = scratch.save(described, "described")
     distinct = described.groupBy("member").agg(F.min("_row").alias("_row"))
     distinct = scratch.save(distinct, "distinct")
 
     # One row of every member stands for it.
     standing = described.join(distinct.select("_row"), "_row", "left_semi")
-    blocks = standing.select(F.explode("keys").alias("key"), "member", "high", "low")
-    blocks = blocks.repartition(input_partitions(spark), "key").sortWithinPartitions("key", "member")
-    links = scratch.save(blocks.mapInArrow(block_reader(), "a long, b long").distinct(), "candidates")
+    blocks = standing.select(F.explode("keys").alias("group"), "size", "member", "high", "low")
+    hot = blocks.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    hot = scratch.save(hot.select("group", F.ceil(F.col("n") / TILE).cast("long").alias("few")), "hot")
+    blocks = blocks.join(hot, "group", "left").withColumn("few", F.coalesce("few", F.lit(1).cast("long"))).withColumn("many", F.lit(0).cast("long"))
+    blocks = dealt(blocks.withColumn("p", F.pmod(F.xxhash64("member"), "few"))).withColumn("root", F.col("member"))
+    links = scratch.save(unit_links(blocks, similarity).distinct(), "candidates")
 
     # Loose groups, in parts of bounded size.
-    loose = components(links)
-    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = scratch.save(sizes, "sizes")
-    gathered = loose.join(sizes, "root").select(F.col("node").alias("member"), F.col("root").alias("group"), F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / GATHERED)).alias("salt"), "_n")
-    needed = distinct.join(gathered, "member").join(described.select("_row", "high", "low"), "_row")
-    texts = rows.select("_row", F.col(text_col).alias("_text")).join(needed, "_row").select("member", "_text", "group", "salt", "_n", "high", "low")
-    kinds = "member long, shingles binary, group long, salt long, _n long, high long, low long"
-    sets = scratch.save(texts.mapInArrow(set_builder(words), kinds), "sets")
-    together = sets.select("group", "salt", "member", "high", "low", "shingles").repartition(input_partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", "member")
-    found = together.mapInArrow(group_checker(similarity), "a long, b long")
-    large = sets.where(F.col("_n") > GATHERED)
-    across = links.join(large.select(F.col("member").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("member").alias("b"), F.col("shingles").alias("y")), "b")
-    across = across.select("a", "b", "x", "y").mapInArrow(checker(similarity), "a long, b long")
-    checked = scratch.save(found.unionByName(across), "checked")
-    if sizes.where(F.col("_n") > GATHERED).limit(1).count():
-        between = scratch.save(links_between(scratch, large, checked, similarity), "between")
-        checked = checked.unionByName(between)
+    loose = components(links).join(distinct, F.col("node") == F.col("member")).join(described.select("_row", "size", "high", "low"), "_row")
+    loose = scratch.save(loose.select("_row", "member", F.col("root").alias("group"), "size", "high", "low"), "loose")
+    sizes = loose.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    sizes = scratch.save(sizes.select("group", _parts("n", "s").alias("few")), "sizes")
+    texts = rows.select("_row", F.col(text_col).alias("_text")).join(loose.join(sizes, "group"), "_row")
+    texts = texts.select("member", "_text", "group", "size", "high", "low", "few")
+    sets = scratch.save(texts.mapInArrow(set_builder(words), "member long, shingles binary, group long, size long, high long, low long, few long"), "sets")
+    own = F.pmod(F.xxhash64("member"), "few").alias("j")
+    found = unit_links(sets.select("group", own, own.alias("i"), F.lit(0).alias("side"), "size", "member", F.col("member").alias("root"), "high", "low", "shingles"), similarity)
+    if sizes.where("few > 1").limit(1).count():
+        large = sets.where("few > 1")
+        across = links.join(large.select(F.col("member").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("member").alias("b"), F.col("shingles").alias("y")), "b")
+        across = across.select("a", "b", "x", "y").mapInArrow(checker(similarity), "a long, b long")
+        checked = scratch.save(found.unionByName(across), "checked")
+        checked = checked.unionByName(scratch.save(links_between(scratch, large, checked, similarity), "between"))
+    else:
+        checked = scratch.save(found, "checked")
     scratch.drop("sets")
 
     roots = components(checked)

@@ -7,8 +7,8 @@ a block that must hold a linked pair: no link is missed. With the default radius
 
 Within a block, bit planes are stored vertically: plane k is one integer whose bit i is bit k of member i.
 A member is compared with all others at once: each plane, inverted where the member's own bit is set, is
-added to carry-save counters (ones, twos, ...) with bitwise operations, lanes past the radius are marked
-over, and the block is abandoned once every lane is over. Links inside a block are reported as a spanning
+added to carry-save counters (ones, twos, ...) with bitwise operations, eight planes at a time; then lanes past
+the radius are marked over, and the block is abandoned once every lane is over. Links inside a block are reported as a spanning
 forest, so output is linear in the members.
 
 Cases: null text is the empty text; a text without words has fingerprint zero, linked like any other;
@@ -72,33 +72,53 @@ def fingerprinter(words: int, seed: int):
     return run
 
 
+def _add(a: int, b: int, c: int) -> tuple[int, int]:
+    """Carry-save: the carries and sums of three planes, lane by lane."""
+    u = a ^ b
+    return a & b | u & c, u ^ c
+
+
 class Block:
-    """Distinct fingerprints of one block as vertical bit planes, in lanes of bounded width."""
+    """Distinct fingerprints of one block as vertical bit planes, in lanes of bounded width.
+
+    Bits in which no members differ have no plane, unless ``bits`` says how many there are: then queries may be others.
+    """
 
-    def __init__(self, members: list[int], radius: int):
+    def __init__(self, members: list[int], radius: int, bits: int = 0):
         self.members, self.radius = members, radius
-        varied = 0
+        varied = (1 << bits) - 1
         for x in members:
             varied |= x ^ members[0]
-        self.bits = [b for b in range(varied.bit_length()) if varied >> b & 1]
+        width = max(1, (bits + 7) // 8, *((x.bit_length() + 7) // 8 for x in members))
         self.slices = []
         for at in range(0, len(members), _LANES):
             lane = members[at : at + _LANES]
-            planes = [int("".join("1" if x >> b & 1 else "0" for x in reversed(lane)), 2) for b in self.bits]
+            full = (1 << len(lane)) - 1
+            raw = np.frombuffer(b"".join(x.to_bytes(width, "little") for x in lane), np.uint8).reshape(-1, width)
+            packed = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little")
+            planes = [(b, (plane := int.from_bytes(packed[b].tobytes(), "little"), plane ^ full)) for b in range(varied.bit_length()) if varied >> b & 1]
+            planes += [(0, (0, 0))] * (-len(planes) % 8)
             self.slices.append((at, len(lane), planes))
 
-    def within(self, query: int, at: int) -> int:
+    def within(self, query: int, at: int, radius: int | None = None) -> int:
         """The members of slice ``at`` within the radius, as a bit mask over its lanes."""
         _, n, planes = self.slices[at]
+        limit = self.radius if radius is None else radius
         full = (1 << n) - 1
-        counters = [0] * self.radius.bit_length()
-        limit, over = self.radius, 0
-        for b, plane in zip(self.bits, planes):
-            carry = plane ^ full if query >> b & 1 else plane
-            for k in range(len(counters)):
-                counters[k], carry = counters[k] ^ carry, counters[k] & carry
-            over |= carry
-            over |= self._past(counters, limit, full)
+        ones = twos = fours = over = 0
+        high = [0] * (limit.bit_length() - 3)
+        for k in range(0, len(planes), 8):  # eight planes into the counters at a time
+            a, b, c, d, e, f, g, h = [pair[query >> bit & 1] for bit, pair in planes[k : k + 8]]
+            two_a, ones = _add(ones, a, b)
+            two_b, ones = _add(ones, c, d)
+            four_a, twos = _add(twos, two_a, two_b)
+            two_a, ones = _add(ones, e, f)
+            two_b, ones = _add(ones, g, h)
+            four_b, twos = _add(twos, two_a, two_b)
+            carry, fours = _add(fours, four_a, four_b)
+            for i in range(len(high)):
+                high[i], carry = high[i] ^ carry, high[i] & carry
+            over |= carry | self._past([ones, twos, fours, *high], limit, full)
             if over == full:
                 return 0
         return ~over & full

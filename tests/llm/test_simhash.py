@@ -118,24 +118,29 @@ def same_groups(docs, rows):
     return sorted(map(sorted, got.values())), sorted(sorted(k for k in want if want[k] == root) for root in set(want.values()))
 
 
-def test_copies_in_parts_of_a_large_loose_group(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "GATHERED", 30)
+@pytest.mark.parametrize(("tile", "shingles"), [(5, 10**9), (2048, 3000)])
+def test_groups_do_not_depend_on_the_size_of_parts(spark, monkeypatch, tile, shingles):
+    monkeypatch.setattr(near_duplicates, "TILE", tile)
+    monkeypatch.setattr(near_duplicates, "SHINGLES", shingles)
     rng = random.Random(22)
     rows = []
     for family in range(2):  # copies are near the base, and few are near one another
         base = [f"f{family}w{k}" for k in range(204)]
         rows.append((len(rows), " ".join(base)))
-        for copy in range(150):
+        for copy in range(60):
             changed = list(base)
             for k in rng.sample(range(0, 204, 5), 4 if copy % 3 else 5):
                 changed[k] = f"c{copy}x{k}"
             rows.append((len(rows), " ".join(changed)))
+    chain = [f"chain{k}" for k in range(100)]  # each link is near the one before, the ends are far apart
+    for step in range(40):
+        chain = chain[4:] + [f"step{step}x{k}" for k in range(4)]
+        rows.append((len(rows), " ".join(chain)))
     got, want = same_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
     assert got == want
 
 
-def test_blocks_of_several_tiles_keep_near_members_together(monkeypatch):
-    monkeypatch.setattr(near_duplicates, "TILE", 16)
+def test_units_link_what_is_within_the_radius(spark):
     rng = random.Random(5)
     prints = []
     for _ in range(12):  # chains that lead away from their first print
@@ -144,13 +149,30 @@ def test_blocks_of_several_tiles_keep_near_members_together(monkeypatch):
             prints.append(at)
             at ^= sum(1 << b for b in rng.sample(range(128), 18))
     rng.shuffle(prints)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    columns = [[7] * len(prints), list(range(len(prints))), [signed(v >> 64) for v in prints], [signed(v % 2**64) for v in prints]]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "member", "high", "low"])
-    links = [pair for b in near_duplicates.block_reader()(iter([batch])) for pair in zip(*(c.to_pylist() for c in b.columns))]
-    loose = groups_of(range(len(prints)), links)
+    sizes = [rng.choice((0, 40, 49, 60, 75)) for _ in prints]
     radius = near_duplicates.RADII[-1]
-    assert all(loose[i] == loose[j] for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius)
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    for parts in (1, 12, 400):
+        rows = [(7, sizes[k], k, k, signed(v >> 64), signed(v % 2**64), k * 7 % parts, parts, 0) for k, v in enumerate(prints)]
+        rows += [(8, *r[1:]) for r in rows[:3]]
+        dealt = near_duplicates.dealt(spark.createDataFrame(rows, "group long, size long, member long, root long, high long, low long, p long, few long, many long"))
+        links = [(r["a"], r["b"]) for r in near_duplicates.unit_links(dealt, 0.8).collect()]
+        assert groups_of(range(len(prints)), links) == groups_of(range(len(prints)), near)
+        assert len(links) <= len(prints) * parts
+
+
+def test_near_copies_of_very_long_texts_and_clashing_names(spark, documents):
+    rng = random.Random(3)
+    words = [f"l{rng.randrange(10**6)}" for _ in range(300_000)]
+    near = list(words)
+    for k in rng.sample(range(len(words)), 5000):
+        near[k] = "changed"
+    far = [w if k % 10 else "other" for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == [1, 3]
+    with pytest.raises(ValueError, match="_row"):
+        near_duplicate_groups(documents.withColumnRenamed("source", "_row"))
 
 
 def test_short_near_copies_are_within_the_radius():
@@ -161,9 +183,14 @@ def test_short_near_copies_are_within_the_radius():
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
     highs, lows = [], []
     for out in near_duplicates.describer(5)(iter([batch])):
-        highs += out.column(2).to_pylist()
-        lows += out.column(3).to_pylist()
+        highs += out.column(3).to_pylist()
+        lows += out.column(4).to_pylist()
     prints = [(h % 2**64) << 64 | w % 2**64 for h, w in zip(highs, lows)]
     sets = [shingle_set(t, 5) for t in texts]
-    missed = sum(not near_duplicates.checked_links([0, 1], prints[k : k + 2], sets[k : k + 2], 0.8) for k in range(0, len(texts), 2))
+    missed = 0
+    for k in range(0, len(texts), 2):
+        unit = near_duplicates.Unit(0.8)
+        for at in (k, k + 1):
+            unit.hold(at, at, prints[at], len(sets[at]), sets[at])
+        missed += not unit.with_itself()
     assert missed == 0
