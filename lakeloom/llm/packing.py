@@ -8,11 +8,13 @@ Ranks come from counts per written partition and class, so a length that a third
 spread like any other. The plan has a fixed bound (see :mod:`lakeloom.llm.cutting_stock`).
 
 Cases: null text is the empty text, whose only id is the end; repeated rows are packed each; an empty table
-gives no rows; columns beside those asked for are ignored.
+gives no rows; columns beside those asked for are ignored; texts of any length are encoded whole, also single words
+or runs of white space of millions of characters; ``pack`` refuses tables with a column of a name it adds.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -30,6 +32,8 @@ from lakeloom.llm.cutting_stock import plan
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which that pattern splits alike in both libraries; texts with others take the slower one.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u2010-\u2027]*")
+#: Runs of white space that the library with ranks would follow too deep.
+_DEEP = re.compile(r"(?<!\s)\s{10000}")
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -78,11 +82,21 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.quick is not None and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = self.quick.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        if self.quick is not None and _PLAIN.fullmatch(text) and not _DEEP.search(text) and not any(s in text for s in self.special):
+            with contextlib.suppress(Exception), _panics():
+                return np.array(self.quick.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@contextlib.contextmanager
+def _panics() -> Iterator[None]:
+    """Turns a panic of a native library, which no handler of exceptions sees, into an exception."""
+    try:
+        yield
+    except BaseException as e:
+        if type(e).__name__ == "PanicException":
+            raise RuntimeError(str(e)) from e
+        raise
 
 
 def load_encoder(path: str) -> Encoder:
@@ -121,8 +135,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, grid: int = 4) -> DataFrame:
     """``pieces`` with a ``length`` of at most the capacity, each with its ``sequence_id`` and ``offset`` there."""
     if capacity % grid:
         raise ValueError("the grid must divide the capacity")
-    scratch = Scratch(pieces.sparkSession, "packing")
     columns = pieces.columns
+    if clash := {"_serial", "_class", "_part", "_rank", "_slot", "_before", "_n", "sequence_id", "offset"}.intersection(columns):
+        raise ValueError(f"columns {sorted(clash)} are added here and must not be in the table")
+    scratch = Scratch(pieces.sparkSession, "packing")
     serial = F.monotonically_increasing_id()
     rows = pieces.withColumn("_serial", serial).withColumn("_class", F.ceil(F.col("length") / grid).cast("int"))
     rows = scratch.save(rows.withColumn("_part", F.shiftright("_serial", 33)), "pieces")

@@ -68,3 +68,20 @@ def test_pieces_and_sequences(documents, clashing):
 def test_empty_table(nothing):
     assert pack(document_pieces(nothing, PATH).drop("ids")).count() == 0
     assert pack(document_pieces(nothing, PATH).withColumn("n", F.lit(1)).drop("ids")).columns[-2:] == ["sequence_id", "offset"]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000, " \n\t" * 300_000, "a" * 1_500_000 + " " * 20_000 + "b", ("x" + " " * 9_999) * 20], ids=["blanks", "lines", "mixed", "word", "runs"])
+def test_very_long_texts_have_the_library_ids(text):
+    encoder = Encoder(PATH)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts_are_packed_and_clashing_names_refused(spark):
+    docs = spark.createDataFrame([(1, " " * 1_200_000), (2, "\n" * 1_000_000 + "end"), (3, "w " * 400_000)], "doc_id long, text string")
+    pieces = document_pieces(docs, PATH).cache()
+    rows = pack(pieces.drop("ids")).collect()
+    encoder = Encoder(PATH)
+    for d in docs.collect():
+        assert sum(r["length"] for r in rows if r["doc_id"] == d["doc_id"]) == len(encoder.encode(d["text"])) // 4 + 1
+    with pytest.raises(ValueError, match="_rank"):
+        pack(pieces.withColumn("_rank", F.lit(1)))
