@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.operators.catalog import Filters, select_entries, sort_entries
+from lakeloom.operators.catalog import ENTRIES, Filters, select_entries, sort_entries
 from lakeloom.operators.facts import FACTS, RESERVED, scored
 from lakeloom.operators.store import FactStore
 from lakeloom.plans.engine import Engine
@@ -18,7 +18,7 @@ from lakeloom.plans.terms import Rule
 
 __all__ = ["FACTS", "Engine", "FactStore", "Filters", "Relations", "Rule", "Scope", "Workspace"]
 
-CATALOG = "id string, schema string, origin string, format string, entry_type string, collection_type string, item_id string, resource_id string, content_hash string, version int, status string, definition string, tags string, identity_json string, record_count long, size_bytes long, import_timestamp timestamp, created_at timestamp"
+CATALOG = ENTRIES
 
 
 @dataclass

@@ -15,8 +15,15 @@ from pyspark.sql import functions as F
 from lakeloom.functions.names import ROOT, normalize_schema
 from lakeloom.plans.terms import RuleError
 
-#: Sortable columns by name; anything else sorts by time, newest first.
+#: The columns of the catalog, with an order column for ties.
+ENTRIES = (
+    "id string, stored_path string, metadata_path string, import_timestamp timestamp, format string, origin string, schema string, confidence double, record_count long, size_bytes long, "
+    "collection_id string, item_index long, collection_type string, item_id string, resource_id string, content_hash string, identity_json string, version int, entry_type string, definition string, "
+    "run_id string, tags string, status string, target string, created_at timestamp, updated_at timestamp"
+)
+#: Sortable columns by name; anything else sorts by time, newest first.
 SORTS = {"timestamp": "import_timestamp", "size": "size_bytes", "records": "record_count", "schema": "schema", "origin": "origin", "format": "format", "id": "id"}
+#: Statuses of an entry.
 STATUSES = ("unknown", "clean", "drifted", "converging", "failed")
 
 

@@ -77,12 +77,19 @@ def lookup(facts: DataFrame, prefix: str, column: str = "id") -> DataFrame:
     return found if n == 1 else facts.where(F.col(column) == prefix)
 
 
-def scored(facts: DataFrame, now: int) -> DataFrame:
-    """Current facts with their worth and what is left of it by age."""
+def scored(facts: DataFrame, now: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Current facts with their worth and what is left of it by age, and the columns ``keep``."""
     age = F.lit(now) - F.col("valid_start")
     worth = F.get_json_object("args", "$.worth").try_cast("double")
     rows = facts.where(Scope().predicate())
-    return rows.select("id", "relation", "source", age.alias("age_seconds"), worth.alias("worth"), decayed(worth, age).alias("decayed_worth"))
+    return rows.select("id", "relation", "source", age.alias("age_seconds"), worth.alias("worth"), decayed(worth, age).alias("decayed_worth"), *keep)
+
+
+def top_by_worth(facts: DataFrame, now: int, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``n`` current facts that are worth most by now, and those that tie with the last of them."""
+    rows = scored(facts, now, keep).where("decayed_worth is not null")
+    least = rows.orderBy(F.desc("decayed_worth")).limit(n).agg(F.min("decayed_worth").alias("_least"))
+    return rows.join(F.broadcast(least), F.col("decayed_worth") >= F.col("_least")).drop("_least")  # one row
 
 
 def statistics(facts: DataFrame, by: list[str]) -> DataFrame:
@@ -130,8 +137,8 @@ def invalid(args: Column, relation: Column) -> Column:
 # Changes ----------------------------------------------------------------------------------------
 
 
-def add(facts: DataFrame, new: DataFrame, now: int, validate: bool = True) -> DataFrame:
-    """``facts`` and those of ``new(relation, args, valid_start?, source, provenance?)`` whose id is not there yet."""
+def asserted(new: DataFrame, now: int, validate: bool = True) -> DataFrame:
+    """``new(relation, args, valid_start?, source, provenance?)`` as facts with their ids, one row for each id."""
     for column, kind in (("valid_start", "long"), ("provenance", "string"), ("source", "string")):
         if column not in new.columns:
             new = new.withColumn(column, F.lit(None).cast(kind))
@@ -143,13 +150,23 @@ def add(facts: DataFrame, new: DataFrame, now: int, validate: bool = True) -> Da
         bad = new.select("relation", invalid(F.col("args"), F.col("relation")).alias("bad")).where("bad is not null and bad <> 'json'").limit(1).collect()
         if bad:
             raise RuleError(f"{bad[0]['relation']}: {bad[0]['bad']} is not valid")
-    rows = new.select(
+    return new.select(
         fact_id(F.col("relation"), F.col("args"), F.col("valid_start"), F.col("source")).alias("id"), "relation", "args", "valid_start", F.lit(None).cast("long").alias("valid_end"),
         F.lit(now).cast("long").alias("tx_start"), F.lit(None).cast("long").alias("tx_end"), "source", "provenance",
     ).dropDuplicates(["id"])
+
+
+def add(facts: DataFrame, new: DataFrame, now: int, validate: bool = True) -> DataFrame:
+    """``facts`` and those of ``new`` whose id is not there yet."""
+    rows = asserted(new, now, validate)
     return facts.unionByName(rows.join(facts.select("id"), "id", "left_anti").select(facts.columns))
 
 
+def open_facts(facts: DataFrame) -> DataFrame:
+    """Facts that hold now."""
+    return facts.where(Scope().predicate())
+
+
 def _close(facts: DataFrame, fact: str, column: str, now: int) -> DataFrame:
     if facts.where((F.col("id") == fact) & F.col(column).isNull()).isEmpty():
         raise NotFound(f"no open fact {fact}")

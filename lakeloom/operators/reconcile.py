@@ -82,13 +82,21 @@ def resolve_scope(entries: DataFrame, memberships: DataFrame, snapshots: DataFra
     return entries.where(F.col("origin") == origin)
 
 
+def drift_evidence(drift: DataFrame, model: str, now: int) -> DataFrame:
+    """A fact for each drifting resource, the raw evidence of :func:`drift_observation`."""
+    args = F.to_json(F.struct(F.lit(f"model:{model}").alias("scope"), "resource", "reason", "diff"))
+    return drift.select(F.lit("drift_evidence").alias("relation"), args.alias("args"), F.lit(now).cast("long").alias("valid_start"), F.lit("drift").alias("source"), F.lit(None).cast("string").alias("provenance"))
+
+
 def drift_observation(drift: DataFrame, model: str, now: int) -> DataFrame:
-    """The verdict of a drift as one observation row with its evidence, ready to be added to the facts."""
-    evidence = F.to_json(F.array_sort(F.collect_list(F.struct("resource", "reason", "diff"))))
-    row = drift.agg(F.count(F.lit(1)).alias("n"), evidence.alias("evidence"))
+    """The verdict of a drift as one observation row, ready to be added to the facts. Its provenance is the count and
+    an order-free digest of the evidence rows, which :func:`drift_evidence` gives one by one."""
+    total = F.sum(F.xxhash64("resource", "reason", "diff").cast("decimal(38,0)")).cast("string")
+    row = drift.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.coalesce(total, F.lit("")), 256).alias("digest"))
     text = F.when(F.col("n") == 0, F.lit(f"{model} is clean")).otherwise(F.concat(F.lit(f"{model} drifted: "), F.col("n").cast("string"), F.lit(" resources")))
     args = F.to_json(F.struct(F.lit("fact").alias("kind"), text.alias("description"), F.lit(f"model:{model}").alias("scope"), F.lit("raw").alias("status")))
-    return row.select(F.lit("observation").alias("relation"), args.alias("args"), F.lit(now).cast("long").alias("valid_start"), F.lit("drift").alias("source"), F.col("evidence").alias("provenance"))
+    provenance = F.to_json(F.struct(F.col("n").alias("evidence"), "digest"))
+    return row.select(F.lit("observation").alias("relation"), args.alias("args"), F.lit(now).cast("long").alias("valid_start"), F.lit("drift").alias("source"), provenance.alias("provenance"))
 
 
 def differential_drift(results: DataFrame) -> DataFrame:
@@ -210,63 +218,82 @@ class Convergence:
     error: str = ""
 
 
+#: What each step can come to: the step after it, or the outcome that ends the loop, and whether that leaves the state
+#: of the system in doubt (always, or only once something was applied).
+STEPS: dict[tuple[str, str], tuple[str | None, str, str]] = {
+    ("observe", "clean"): (None, "clean", "never"),
+    ("observe", "drift"): ("limits", "", ""),
+    ("observe", "error"): (None, "failed:observe", "once applied"),
+    ("limits", "dry run"): (None, "dry-run", "never"),
+    ("limits", "budget"): (None, "failed:budget-exhausted", "never"),
+    ("limits", "cap"): (None, "failed:cap-exhausted", "never"),
+    ("limits", "none"): ("apply", "", ""),
+    ("apply", "done"): ("record", "", ""),
+    ("apply", "error"): (None, "failed:execute", "always"),
+    ("record", "done"): ("observe", "", ""),
+    ("record", "error"): (None, "needs-verification", "always"),
+}
+
+
 def converge(observe: Callable[[], bool], apply: Callable[[], object], record: Callable[[object], None] | None = None, iterations: int = 3, budget: int | None = None, dry_run: bool = False) -> Convergence:
-    """Observe and apply until clean, a cap or the budget; ``observe`` tells whether nothing drifts.
+    """Walks ``STEPS`` from an observation to an end; ``observe`` tells whether nothing drifts.
 
-    Caps withhold an apply, never an observation. A run that may have changed the system without proof of the
-    result needs verification.
+    Limits are looked at between an observation that drifts and an apply, so the last apply is always observed.
     """
     if iterations < 1:
         raise RuleError("a convergence needs at least one iteration")
-    out, lost, unproven = Convergence(), False, False
-    turn = 0
-    while True:
-        try:
-            clean = observe()
-        except Exception as e:  # the executor is the caller's
-            out.outcome, out.error = "failed:observe", str(e)
-            break
-        if clean or dry_run:
-            out.outcome = "clean" if clean else "dry-run"
-            break
-        if budget is not None and out.iterations >= budget:
-            out.outcome = "failed:budget-exhausted"
-            break
-        if turn >= iterations:
-            out.outcome = "failed:cap-exhausted"
-            break
-        turn += 1
-        unproven = True
-        try:
-            receipt = apply()
-        except Exception as e:
-            out.outcome, out.error = "failed:execute", str(e)
-            break
-        out.iterations += 1
+    applied: list[object] = []  # receipts
+
+    def write_down() -> str:
+        if record is not None:
+            record(applied[-1])
+        return "done"
+
+    def do() -> str:
+        applied.append(apply())
+        return "done"
+
+    limits = {"dry run": lambda: dry_run, "budget": lambda: budget is not None and len(applied) >= budget, "cap": lambda: len(applied) >= iterations}
+    actions: dict[str, Callable[[], str]] = {
+        "observe": lambda: "clean" if observe() else "drift",
+        "limits": lambda: next((name for name, reached in limits.items() if reached()), "none"),
+        "apply": do,
+        "record": write_down,
+    }
+    step, outcome, doubt, error = "observe", "", "", ""
+    while step:
         try:
-            if record is not None:
-                record(receipt)
-        except Exception as e:
-            lost, out.error = True, str(e)
-            break
-        unproven = False
-    out.needs_verification = lost or unproven or (out.outcome == "failed:observe" and out.iterations > 0)
-    if out.needs_verification and out.outcome in ("clean", ""):
-        out.outcome = "needs-verification"
-    return out
+            event = actions[step]()
+        except Exception as e:  # the actions are the caller's
+            event, error = "error", str(e)
+        step, outcome, doubt = STEPS[step, event]
+    return Convergence(outcome, len(applied), doubt == "always" or doubt == "once applied" and bool(applied), error)
+
+
+def run_verdicts(runs: DataFrame) -> DataFrame:
+    """``runs`` with their ``verdict``, from the columns ``outcome`` (of a convergence, null without one),
+    ``needs_verification``, ``drift_clean`` (null if not looked at), ``verified``, ``failed_checks`` and ``dry_run``."""
+    converged = F.when(F.col("needs_verification"), "unknown").when(F.col("outcome") == "clean", "clean").when(F.col("outcome").startswith("failed"), "failed").otherwise("")
+    observed = F.when(F.col("verified") & F.col("drift_clean"), "clean").when(F.col("verified") & ~F.col("drift_clean"), "drifted").otherwise("")
+    found = F.when(F.col("dry_run"), "").when(F.col("outcome").isNotNull(), converged).otherwise(observed)
+    return runs.withColumn("verdict", F.when((found == "clean") & (F.col("failed_checks") > 0), "drifted").otherwise(found))
+
+
+#: Verdicts of outcomes by their first word; any other has none.
+_VERDICTS = {"clean": "clean", "failed": "failed"}
 
 
 def run_verdict(convergence: Convergence | None = None, drift_clean: bool | None = None, verified: bool = True, checks: list[dict] = (), dry_run: bool = False) -> str:
-    """The verdict of a run; a failed check turns clean into drifted."""
-    verdict = ""
-    if not dry_run and convergence is not None:
-        if convergence.needs_verification:
-            verdict = "unknown"
-        elif convergence.outcome == "clean":
-            verdict = "clean"
-        elif convergence.outcome.startswith("failed"):
-            verdict = "failed"
-    elif not dry_run and drift_clean is not None and verified:
-        verdict = "clean" if drift_clean else "drifted"
-    failed = any(not c["passed"] and c["severity"] == "fail" for c in checks)
-    return "drifted" if verdict == "clean" and failed else verdict
+    """The same for one run; a failed check turns clean into drifted."""
+    if dry_run:
+        return ""
+    if convergence is not None:
+        found = "unknown" if convergence.needs_verification else _VERDICTS.get(convergence.outcome.partition(":")[0], "")
+    else:
+        found = {True: "clean", False: "drifted"}.get(drift_clean, "") if verified else ""
+    return "drifted" if found == "clean" and any(c["severity"] == "fail" and not c["passed"] for c in checks) else found
+
+
+def plan_digest(plan: Column) -> Column:
+    """The digest of a run plan in JSON, whatever the order of its keys."""
+    return content_hash(canonical_json(plan))

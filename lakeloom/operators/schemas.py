@@ -20,6 +20,15 @@ from lakeloom.functions.names import ROOT, normalize_schema_name
 KINDS = {"string": str, "bool": bool, "int": int, "number": (int, float), "list": list, "struct": dict, "any": object}
 
 
+#: Weights of the signs that a schema fits, in tiers; a later tier counts only where an earlier one shows nothing.
+WEIGHTS: list[dict[str, float]] = [
+    {"declares the type": 0.9},
+    {"all identity fields": 0.5, "some identity fields": 0.2, "tracked fields": 0.1, "origin names the type": 0.15},
+    {"catch-all": 0.01},
+    {"list for a collection": 0.02},
+]
+
+
 @dataclass(frozen=True)
 class Field:
     kind: str = "any"
@@ -133,28 +142,36 @@ class Registry:
             fields |= self.schemas[n].fields
         return record_errors(record, fields, schema.closed)
 
+    def signs(self, schema: Schema, record: object, origin: str = "", collection: str = "") -> dict[str, float]:
+        """How much of each sign of ``WEIGHTS`` a record and its origin show for a schema, from 0 to 1."""
+        fields = record if isinstance(record, dict) else {}
+        kind = schema.resource_type.lower()
+
+        def share(names: tuple[str, ...]) -> float:
+            return sum(n.partition(".")[0] in fields for n in names) / len(names) if names else 0.0
+
+        def words(text: str) -> set[str]:
+            return set(re.findall(r"[^-_./]+", text.lower()))
+
+        declared = fields.get("_schema")
+        hinted = sum(bool({w, w.removesuffix("s")} & words(kind)) for w in re.findall(r"[^-_./]+", origin.lower())) if kind else 0
+        identity = share(schema.identity)
+        return {
+            "declares the type": float(isinstance(declared, str) and bool(kind) and declared.lower() == kind),
+            "all identity fields": float(identity == 1),
+            "some identity fields": identity if identity < 1 else 0.0,
+            "tracked fields": share(schema.tracked),
+            "origin names the type": float(hinted >= 2),
+            "catch-all": float(schema.schema_type == "catchall" or "CatchAll" in schema.name),
+            "list for a collection": float(schema.is_list and collection == "collection"),
+        }
+
     def score(self, schema: Schema, record: object, origin: str = "", collection: str = "") -> float:
-        """How likely a schema fits, before it is tried: 0 if it cannot."""
+        """How likely a schema fits, before it is tried: 0 if it cannot. The first tier of signs that shows anything."""
         if collection and schema.is_list != (collection == "collection"):
             return 0.0
-        top = set(record) if isinstance(record, dict) else set()
-        declared = record.get("_schema") if isinstance(record, dict) else None
-        if isinstance(declared, str) and declared and schema.resource_type and declared.lower() == schema.resource_type.lower():
-            return 0.9
-        share = lambda names: sum(n.split(".")[0] in top for n in names) / len(names) if names else 0.0
-        total, identity = 0.0, share(schema.identity)
-        total += 0.5 if identity == 1 else 0.2 * identity
-        total += 0.1 * share(schema.tracked)
-        if origin and schema.resource_type:
-            parts = lambda t: [p for p in re.split(r"[-_./]", t.lower()) if p]
-            kinds = set(parts(schema.resource_type))
-            if sum(p in kinds or p.removesuffix("s") in kinds for p in parts(origin)) >= 2:
-                total += 0.15
-        if not total and (schema.schema_type == "catchall" or "CatchAll" in schema.name):
-            return 0.01
-        if not total and schema.is_list and collection == "collection":
-            return 0.02
-        return total
+        shown = self.signs(schema, record, origin, collection)
+        return next((total for tier in WEIGHTS if (total := sum(weight * shown[sign] for sign, weight in tier.items()))), 0.0)
 
     def candidates(self, record: object, origin: str = "", collection: str = "") -> list[tuple[str, float]]:
         """Schemas by score, then the more specific, then by name."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.functions.ids import content_hash, proquint, resource_id
 from lakeloom.functions.json_values import canonical_json
 from lakeloom.functions.names import resource_schema
-from lakeloom.operators.catalog import assign_versions, upsert_memberships
+from lakeloom.operators.catalog import ENTRIES, assign_versions, upsert_memberships
 from lakeloom.operators.store import Tables
 
 
@@ -79,21 +80,43 @@ def observation_schema(resource_type: F.Column, mapped: F.Column, loaded: F.Colu
     return F.coalesce(mapped, F.when(loaded, resource_schema(resource_type, generic)), inferred, F.lit(generic))
 
 
-def commit_collection(tables: Tables, collection: str, items: DataFrame, now: int) -> int:
+MEMBERS = "collection_id string, item_id string, item_index long"
+PAYLOADS = "id string, record string"
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with all columns of the catalog, null where they have none."""
+    kinds = T.StructType.fromDDL(ENTRIES)
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
+
+
+def commit_collection(tables: Tables, collection: str, items: DataFrame, now: int, schema: str | None = None, origin: str | None = None, format: str = "json") -> int:
     """Items, their memberships and the collection's own row with the true count, in one transaction or not at all.
 
-    ``items(record, item_index)``; content that the store holds only gains a membership.
+    ``items(record, item_index)``; content that the store holds only gains a membership. Entries and payloads are
+    appended; a collection that comes again gets its row anew, which rewrites the entries.
     """
-    entry, member = "id string, entry_type string, record string, record_count long, created long", "collection_id string, item_id string, item_index long"
+    at = F.timestamp_seconds(F.lit(now))
     with tables.transaction() as tx:
-        held = tx.read("entries", entry)
+        held = tx.read("entries", ENTRIES)
         fresh = hashed(items)
-        first = fresh.groupBy("content_hash").agg(F.min_by("record", "item_index").alias("record"))
-        new = first.select(F.col("content_hash").alias("id"), F.lit("item").alias("entry_type"), "record", F.lit(1).cast("long").alias("record_count"), F.lit(now).cast("long").alias("created"))
-        new = new.join(held.select("id"), "id", "left_anti")
+        first = fresh.groupBy("content_hash").agg(F.min_by("record", "item_index").alias("record"), F.min("item_index").alias("item_index"))
+        first = first.join(held.select(F.col("id").alias("content_hash")), "content_hash", "left_anti")
         places = item_memberships(fresh, collection, "item_index").select("collection_id", "item_id", F.col("item_index").cast("long"))
-        tx.write("memberships", upsert_memberships(tx.read("memberships", member), places))
+        known = tx.read("memberships", MEMBERS)
+        again = not known.where(F.col("collection_id") == collection).isEmpty()
+        if again:
+            tx.write("memberships", upsert_memberships(known, places))
+        else:
+            tx.append("memberships", places)
         count = places.count()
-        own = tables.spark.createDataFrame([(collection, "collection", None, count, now)], entry)
-        tx.write("entries", held.where(F.col("id") != collection).unionByName(new).unionByName(own))
+        tx.append("payloads", first.select(F.col("content_hash").alias("id"), "record"))
+        common = {"schema": F.lit(schema), "origin": F.lit(origin), "format": F.lit(format), "import_timestamp": at, "created_at": at, "updated_at": at, "version": F.lit(1), "status": F.lit("unknown")}
+        new = first.select(F.col("content_hash").alias("id"), "content_hash", F.col("content_hash").alias("item_id"), "item_index", F.lit(collection).alias("collection_id"), F.lit("item").alias("entry_type"), F.lit("item").alias("collection_type"), F.octet_length("record").alias("size_bytes"), F.lit(1).alias("record_count")).withColumns(common)
+        own = tables.spark.createDataFrame([(collection, "collection", "collection", count)], "id string, entry_type string, collection_type string, record_count long").withColumns(common)
+        rows = entries_of(new).unionByName(entries_of(own))
+        if again:
+            tx.write("entries", held.where(F.col("id") != collection).unionByName(rows))
+        else:
+            tx.append("entries", rows)
     return count

@@ -188,6 +188,47 @@ def test_convergence():
     assert run_verdict(drift_clean=True, checks=[{"passed": False, "severity": "fail"}]) == "drifted" and run_verdict(drift_clean=True, checks=[{"passed": False, "severity": "warn"}]) == "clean"
 
 
+@pytest.mark.parametrize(("step", "event"), sorted(reconcile.STEPS))
+def test_every_step_of_the_loop(step, event):
+    """Drives the loop into each row of the table and compares its end with that row."""
+    log = []
+
+    def observe():
+        log.append("observe")
+        if (step, event) == ("observe", "error") and len(log) > 1:
+            raise OSError("gone")
+        return (step, event) == ("observe", "clean")
+
+    def apply():
+        log.append("apply")
+        if (step, event) == ("apply", "error"):
+            raise OSError("no")
+        return len(log)
+
+    def record(receipt):
+        log.append("record")
+        if (step, event) == ("record", "error"):
+            raise OSError("lost")
+
+    options = {"dry run": {"dry_run": True}, "budget": {"budget": 1}, "cap": {"iterations": 2}}.get(event, {})
+    got = converge(observe, apply, record, **options)
+    after, outcome, doubt = reconcile.STEPS[step, event]
+    if after is None:
+        assert got.outcome == outcome and got.needs_verification == (doubt != "never")
+        assert got.iterations == {"budget": 1, "cap": 2}.get(event, 1 if (step, event) in (("observe", "error"), ("record", "error")) else 0)
+    else:
+        assert got.outcome == "failed:cap-exhausted" and got.iterations == 3
+    assert log[0] == "observe" and (got.outcome != "failed:cap-exhausted" or log[-1] == "observe")
+
+
+def test_drift_evidence(spark):
+    drift = spark.createDataFrame([("b", "missing", None), ("a", "changed", "x")], "resource string, reason string, diff string")
+    rows = reconcile.drift_evidence(drift, "m", 1).collect()
+    assert sorted(json.loads(r["args"])["resource"] for r in rows) == ["a", "b"]
+    one = reconcile.drift_observation(drift, "m", 1).first()["provenance"]
+    assert json.loads(one)["evidence"] == 2 and one == reconcile.drift_observation(drift.orderBy("resource"), "m", 1).first()["provenance"]
+
+
 def test_entries_scope_and_observation(spark, entries, members):
     added = catalog.add_entries(entries, spark.createDataFrame([("n1", "core.#Item"), ("e1", "x")], "id string, schema string"))
     assert added.count() == 7 and added.where("id = 'n1'").first()["schema"] == "base/core.#Item"

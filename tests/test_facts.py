@@ -5,7 +5,7 @@ import pytest
 from lakeloom.functions import ids, json_values, names
 from lakeloom.operators import curation, facts, search
 from lakeloom.operators.facts import FACTS, Ambiguous, NotFound
-from lakeloom.operators.store import Conflict, FactStore, Tables
+from lakeloom.operators.store import Conflict, FactStore, Tables, part_of
 from lakeloom.plans.relations import Scope
 from lakeloom.plans.terms import RuleError
 from pyspark.sql import functions as F
@@ -144,6 +144,25 @@ def test_store(spark, tmp_path):
         FactStore(spark, str(tmp_path / "s"), read_only=True).retract("x", 1)
 
 
+def test_a_change_rewrites_one_part(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "s"))
+    store.add([{"relation": r, "args": f'{{"n":{n}}}', "valid_start": 1, "source": "x"} for r in ("a/b=c", "d") for n in range(3)], now=1)
+    before = store.tables.manifest()["facts"]
+    store.add([{"relation": "d", "args": '{"n":1}', "valid_start": 1, "source": "x"}, {"relation": "d", "args": '{"n":9}', "valid_start": 1, "source": "x"}], now=2)
+    added = store.tables.manifest()["facts"]
+    assert store.facts().count() == 7 and added[part_of("a/b=c")] == before[part_of("a/b=c")] and added[part_of("d")][:1] == before[part_of("d")]
+    store.retract(store.query_facts("d").first()["id"], now=3)
+    after = store.tables.manifest()["facts"]
+    assert after[part_of("a/b=c")] == before[part_of("a/b=c")] and len(after[part_of("d")]) == 1 and after[part_of("d")] != added[part_of("d")]
+    assert store.query_facts("d").count() == 3 and store.query_facts("a/b=c").count() == 3 and store.history("d").count() == 4
+    with pytest.raises(NotFound):
+        store.retract("nothing", now=4)
+    store.compact("a/b=c")
+    assert store.tables.vacuum(keep=1) >= 2 and store.facts().count() == 7 and store.tables.vacuum(keep=1) == 0
+    store.add([], now=5)
+    assert store.facts().count() == 7
+
+
 def test_search_query_lists_all_matches(spark, tmp_path):
     from lakeloom.queries_more import j11_o4_search_facts
 

@@ -9,7 +9,8 @@ from lakeloom.operators import schemas
 from lakeloom.operators.schemas import Field, Registry, Schema
 from lakeloom.operators.store import Tables
 from lakeloom.sources import formats, imports
-from lakeloom.streaming.incremental import ITEMS, ingest_stream
+from lakeloom.operators.catalog import ENTRIES, Filters
+from lakeloom.streaming.incremental import ITEMS, REJECTED, ingest_stream
 
 
 @pytest.mark.parametrize(
@@ -140,7 +141,11 @@ def test_incremental_ingest(spark, tmp_path):
         return Tables(spark, store).read("items", ITEMS)
 
     assert turn("a.ndjson", '{"n": 1}', '{"n":1}', '{"n":2}', "bad").count() == 2
-    assert sorted(json.loads(r["record"])["n"] for r in turn("b.ndjson", '{"n":2}', '{"n":3}').collect()) == [1, 2, 3]
+    assert sorted(json.loads(r["record"])["n"] for r in turn("b.ndjson", '{"n":2}', "bad", "bad", "worse", " ", '{"n":3}').collect()) == [1, 2, 3]
+    rejected = Tables(spark, store).read("rejected", REJECTED).collect()
+    assert sorted((r["line"], r["lines"], r["batch"]) for r in rejected) == [("bad", 1, 0), ("bad", 2, 1), ("worse", 1, 1)]
+    folders = Tables(spark, store).manifest()["items"][""]
+    assert len(folders) == 2 and spark.read.parquet(folders[0]).count() == 2  # the second batch has not rewritten the first
 
 
 def test_collections_commit_at_once(spark, tmp_path):
@@ -148,8 +153,21 @@ def test_collections_commit_at_once(spark, tmp_path):
     items = spark.createDataFrame([('{"a":1}', 0), ('{"a": 1}', 1), ('{"a":2}', 2)], "record string, item_index long")
     assert imports.commit_collection(tables, "c1", items, 5) == 2 and tables.version() == 1
     assert imports.commit_collection(tables, "c2", items.limit(1), 6) == 1
-    entries = tables.read("entries", "id string, entry_type string, record string, record_count long, created long")
+    entries = tables.read("entries", ENTRIES)
     assert {(r["entry_type"], r["record_count"]) for r in entries.collect()} == {("item", 1), ("collection", 2), ("collection", 1)} and entries.count() == 4
     assert tables.read("memberships", "collection_id string, item_id string, item_index long").count() == 3
     records = spark.createDataFrame([("x", "aws.#Closed", '{"Arn":"arn:1"}')], "id string, schema string, record string")
     assert schemas.reinfer(records, registry()).first()["new_schema"] == "aws.#Resource"
+
+
+def test_imported_collections_are_listed(spark, tmp_path):
+    from lakeloom.api import Workspace
+
+    w = Workspace(spark, str(tmp_path / "w"))
+    items = spark.createDataFrame([('{"a":1}', 0), ('{"a":2}', 1)], "record string, item_index long")
+    imports.commit_collection(w.store.tables, "c1", items, 86_400, schema="base/core.#Item", origin="here")
+    imports.commit_collection(w.store.tables, "c1", items.limit(1), 86_401, schema="base/core.#Item", origin="here")
+    rows = w.list_catalog(Filters(schema="core", origin="HERE", entry_types=("item",)), sort="size").collect()
+    assert len(rows) == 2 and all(r["format"] == "json" and r["import_timestamp"] and r["collection_id"] == "c1" and r["size_bytes"] == 7 for r in rows)
+    assert len(w.catalog().columns) == 26 and w.list_catalog(Filters(entry_types=("collection",))).first()["record_count"] == 1
+    assert w.store.tables.read("payloads", imports.PAYLOADS).count() == 2
