@@ -63,6 +63,11 @@ def sort_entries(rows: DataFrame, by: str | None = None, reverse: bool = False)
     return rows.orderBy(column.desc() if reverse else column.asc(), "id")
 
 
+def newest(rows: DataFrame, n: int = 1, time: str = "import_timestamp", serial: str = "seq") -> DataFrame:
+    """The ``n`` newest rows; of equal times the one with the higher serial number comes first."""
+    return rows.orderBy(F.desc(time), F.desc(serial)).limit(n)
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     return rows.offset((number - 1) * size).limit(size)
 

@@ -41,6 +41,11 @@ def parse_time(text: str) -> int:
     return int(dt.datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp())
 
 
+def time_seconds(text: Column) -> Column:
+    """The same for a column of texts; null for what is neither."""
+    return F.coalesce(text.try_cast("long"), F.unix_seconds(text.try_cast("timestamp")))
+
+
 def scan(facts: DataFrame, relation: str | None = None, scope: Scope = Scope(), source: str | None = None) -> DataFrame:
     """Facts in scope, newest first."""
     rows = facts.where(scope.predicate())

@@ -10,6 +10,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,14 @@ def scan(atom: Atom, read: Reader) -> Bound:
         if isinstance(term, Constant):
             rows = rows.where(equals_constant(column, kind, loose, term.value))
         elif isinstance(term, Comparison):
-            value = number(column) if loose or isinstance(kind, T.StringType) else column.cast("double")
-            if isinstance(kind, T.StringType) and not loose:
-                value = F.lit(None).cast("double")
-            rows = rows.where(_OPERATORS[term.operator](value, float(term.number)))
+            limit = float(term.number)
+            if isinstance(kind, T.IntegralType) and not loose and limit.is_integer():
+                value, limit = column, int(Decimal(term.number))  # exact over 2^53, and pushed down to the scan
+            elif loose:
+                value = number(column)
+            else:
+                value = F.lit(None).cast("double") if isinstance(kind, T.StringType) else column.cast("double")
+            rows = rows.where(_OPERATORS[term.operator](value, limit))
         elif isinstance(term, Variable):
             if term.name in columns:
                 rows = rows.where(F.col(f"`{columns[term.name]}`") == column)

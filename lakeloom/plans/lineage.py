@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in ``spark.checkpoint.dir``, or in a folder of our own where that is unset (tests)."""
+    """A new folder name in ``spark.checkpoint.dir``, or in a folder of our own where that is unset on one machine
+    (tests); a cluster has to name one."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = getattr(sc, "_lakeloom_folder", None)
         if base is None:
             base = sc._lakeloom_folder = tempfile.mkdtemp(prefix="lakeloom-")

@@ -47,12 +47,18 @@ def read_rules(path: Path) -> dict[str, Rule]:
 
 def load_rules(paths: Iterable[str | Path]) -> list[Rule]:
     """All rules under these files and folders; a name that comes again replaces the earlier rule."""
-    merged: dict[str, Rule] = {}
+    layers = []
     for path in map(Path, paths):
         files = sorted(p for p in path.rglob("*") if p.suffix in (".json", ".yaml", ".yml", ".cue", ".rules")) if path.is_dir() else [path]
-        for file in files:
-            if file.exists():
-                merged |= read_rules(file)
+        layers += [read_rules(file) for file in files if file.exists()]
+    return shadowed(layers)
+
+
+def shadowed(layers: Iterable[dict[str, Rule]]) -> list[Rule]:
+    """The rules of layers by name; a later layer replaces the rules of earlier ones."""
+    merged: dict[str, Rule] = {}
+    for layer in layers:
+        merged |= layer
     return list(merged.values())
 
 

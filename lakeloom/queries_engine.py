@@ -7,16 +7,18 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators import facts, graph, reconcile, schemas
+from lakeloom.api import Workspace
+from lakeloom.operators import catalog, facts, graph, reconcile, schemas
+from lakeloom.operators.catalog import ENTRIES, Filters
 from lakeloom.operators.store import FactStore, Tables
 from lakeloom.plans.engine import Engine, strata
 from lakeloom.plans.lineage import shared_folder
 from lakeloom.plans.relations import Relations
-from lakeloom.plans.rules import CONVERGENCE_RULES, relation_listing
+from lakeloom.plans.rules import CONVERGENCE_RULES, relation_listing, shadowed
 from lakeloom.plans.terms import Rule, RuleError, parse_term
-from lakeloom.queries import Data, NOW, _registry, document_facts, place_edges, query, rule
+from lakeloom.queries import NOW, Data, _registry, document_facts, event_second, place_edges, query, rule
 from lakeloom.sources import formats, imports
-from lakeloom.streaming.incremental import ITEMS, ingest_stream
+from lakeloom.streaming.incremental import ITEMS, REJECTED, ingest_stream
 
 
 @query("WITH n AS (SELECT 'r' || r_regionkey AS node, 0 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation) SELECT node, level, bool_and(level >= 0) AS ordered FROM n GROUP BY ALL")
@@ -113,21 +115,29 @@ def m17_i2_collection_commit(spark, path):
     record = F.concat(F.lit('{"text": '), F.col("n_chars").cast("string"), F.lit(', "source": "'), "source", F.lit('"}'))
     tables = Tables(spark, shared_folder(spark, "store"))
     imports.commit_collection(tables, "c", Data(spark, path).documents.select(record.alias("record"), F.col("doc_id").alias("item_index")), NOW)
-    entries = tables.read("entries", "id string, entry_type string, record string, record_count long, created long")
+    entries = tables.read("entries", ENTRIES)
     return entries.groupBy("entry_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH t AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b, s_suppkey AS k FROM supplier) SELECT a AS \"from\", b AS \"to\", k % 3 = 0 AS closed FROM t WHERE k % 2 = 0 OR k % 3 = 0 AND k % 2 = 1".replace("k % 3 = 0 AS closed", "k % 2 = 1 AS closed"))
+@query("SELECT 's' || s_suppkey AS \"from\", 'n' || s_nationkey AS \"to\", s_acctbal <= 0 AS closed FROM supplier")
 def m14_edge_facts(spark, path):
     store = FactStore(spark, shared_folder(spark, "store"))
-    s = Data(spark, path).supplier
-    edges = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("from"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("to"), "s_suppkey")
-    store.reconcile_edges("model_depends_on", "declared", edges.where("s_suppkey % 3 = 0").select("from", "to"), 10)
-    store.reconcile_edges("model_depends_on", "declared", edges.where("s_suppkey % 2 = 0").select("from", "to"), 20)
+    edges = Data(spark, path).supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("from"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("to"), "s_acctbal")
+    store.reconcile_edges("model_depends_on", "declared", edges.select("from", "to"), 10)
+    store.reconcile_edges("model_depends_on", "declared", edges.where("s_acctbal > 0").select("from", "to"), 20)
     get = lambda k: F.get_json_object("args", f"$.{k}").alias(k)
     return store.facts().select(get("from"), get("to"), F.col("valid_end").isNotNull().alias("closed"))
 
 
+@query("WITH e AS (SELECT '{\"doc_id\":' || doc_id || ',\"source\":\"' || source || '\"}' AS r FROM documents) SELECT sha256(r) AS id, 'item' AS entry_type, 'base/core.#Item' AS schema, 'json' AS format, CAST(length(r) AS BIGINT) AS size_bytes FROM e UNION ALL SELECT 'c', 'collection', 'base/core.#Item', 'json', NULL")
+def e8_s26_import_and_list(spark, path):
+    folder = shared_folder(spark, "workspace")
+    rows = Data(spark, path).documents.select(F.to_json(F.struct("doc_id", "source")).alias("record"), F.col("doc_id").alias("item_index"))
+    imports.commit_collection(Tables(spark, folder), "c", rows, NOW, schema="base/core.#Item", origin="documents")
+    listed = Workspace(spark, folder, read_only=True).list_catalog(Filters(schema="core", origin="DOC"), sort="size")
+    return listed.select("id", "entry_type", "schema", "format", "size_bytes")
+
+
 @query("SELECT 'bug' AS kind, 'it broke' AS description, 'repo:path' AS scope, 'human' AS source UNION ALL SELECT 'pattern', 'it repeats', NULL, NULL")
 def m18_e2_observations(spark, path):
     store = FactStore(spark, shared_folder(spark, "store"))
@@ -141,24 +151,26 @@ def m18_e2_observations(spark, path):
 
 
 def _lines(spark: SparkSession, path: str, folder: str) -> None:
-    rows = Data(spark, path).events.where("event_id % 2 = 0").select(F.to_json(F.struct("user_id", "event_type")).alias("value"))
-    rows.repartition(3).write.text(folder)
+    line = F.when(F.col("event_type") == "error", "{broken").otherwise(F.to_json(F.struct("user_id", "event_type")))
+    Data(spark, path).events.select(line.alias("value")).repartition(3).write.text(folder)
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0")
+@query("SELECT user_id, event_type, 0 AS rejected FROM events WHERE event_type <> 'error' GROUP BY ALL UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_type = 'error'")
 def st6_incremental_ingest(spark, path):
     base = shared_folder(spark, "stream")
     _lines(spark, path, f"{base}/in")
     for _ in range(2):  # the second run finds nothing new
         ingest_stream(spark, f"{base}/in", f"{base}/store", f"{base}/progress", files_per_batch=2).awaitTermination()
-    items = Tables(spark, f"{base}/store").read("items", ITEMS)
-    return items.select(F.get_json_object("record", "$.user_id").cast("long").alias("user_id"), F.get_json_object("record", "$.event_type").alias("event_type"))
+    tables = Tables(spark, f"{base}/store")
+    items = tables.read("items", ITEMS).select(F.get_json_object("record", "$.user_id").cast("long").alias("user_id"), F.get_json_object("record", "$.event_type").alias("event_type"), F.lit(0).cast("long").alias("rejected"))
+    none = F.lit(None)
+    return items.unionByName(tables.read("rejected", REJECTED).agg(F.sum("lines").alias("rejected")).select(none.cast("long").alias("user_id"), none.cast("string").alias("event_type"), "rejected"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 100 = 0")
+@query("SELECT event_id, event_type FROM events")
 def s10_s17_s23_export_and_glob(spark, path):
     base = shared_folder(spark, "export")
-    rows = Data(spark, path).events.where("event_id % 100 = 0").select(F.to_json(F.struct("event_id", "event_type")).alias("record"))
+    rows = Data(spark, path).events.select(F.to_json(F.struct("event_id", "event_type")).alias("record"))
     formats.export(rows, f"{base}/out", "ndjson")
     back = formats.read_ndjson(spark, f"{base}/out/part-*")
     return back.select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), F.get_json_object("record", "$.event_type").alias("event_type"))
@@ -216,19 +228,49 @@ def r8_r9_convergence(spark, path):
     return spark.createDataFrame(rows, "name string, outcome string, applies int, verdict string")
 
 
-@query("SELECT doc_id AS id, source FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 15")
+@query("SELECT doc_id, n_chars / 1000.0 AS worth FROM (SELECT *, rank() OVER (ORDER BY n_chars DESC) AS r FROM documents) WHERE r <= 15")
 def w6_o3_top_with_ties(spark, path):
-    return Data(spark, path).documents.orderBy(F.desc("n_chars"), F.desc("doc_id")).limit(15).select(F.col("doc_id").alias("id"), "source")
+    worth = F.to_json(F.struct((F.col("n_chars") / 1000.0).alias("worth")))
+    f = document_facts(spark, path).select("id", "relation", "source", "valid_end", "tx_start", "tx_end", "provenance", F.lit(NOW).cast("long").alias("valid_start"))
+    f = f.join(Data(spark, path).documents.select(F.col("doc_id").cast("string").alias("id"), worth.alias("args")), "id")
+    return facts.top_by_worth(f, NOW, 15).select(F.col("id").cast("long").alias("doc_id"), "worth")
+
 
+@query("SELECT event_id, user_id FROM events ORDER BY date_trunc('day', ts) DESC, event_id DESC LIMIT 1")
+def o3_newest(spark, path):
+    return catalog.newest(Data(spark, path).events.withColumn("day", F.date_trunc("day", "ts")), 1, "day", "event_id").select("event_id", "user_id")
 
-def plan_digest(plan: dict) -> str:
-    """The digest of a run plan, whatever the order of its keys."""
-    import hashlib
 
-    return hashlib.sha256(json.dumps(plan, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'unknown' WHEN o_orderstatus = 'O' THEN 'failed'
+WHEN o_totalprice > 400000 THEN '' WHEN o_totalprice > 300000 THEN 'drifted' WHEN o_orderpriority = '5-LOW' THEN 'drifted' ELSE 'clean' END AS verdict FROM orders""")
+def r9_run_verdicts(spark, path):
+    status, price, priority = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderpriority")
+    runs = Data(spark, path).orders.select(
+        "o_orderkey", F.when(status == "O", "failed:cap-exhausted").alias("outcome"), (priority == "1-URGENT").alias("needs_verification"), (price <= 300_000).alias("drift_clean"),
+        (price <= 400_000).alias("verified"), F.when(priority == "5-LOW", 2).otherwise(0).alias("failed_checks"), (status == "P").alias("dry_run"),
+    )
+    return reconcile.run_verdicts(runs).select("o_orderkey", "verdict")
 
 
-@query("SELECT sha256('{\"models\":[\"a\",\"b\"],\"only\":null}') AS digest, true AS same")
+@query("SELECT n_nationkey, sha256('{\"models\":[\"n' || n_nationkey || '\",\"r' || n_regionkey || '\"],\"only\":null}') AS digest FROM nation")
 def e7_plan_digest(spark, path):
-    one, two = plan_digest({"only": None, "models": ["a", "b"]}), plan_digest({"models": ["a", "b"], "only": None})
-    return spark.createDataFrame([(one, one == two)], "digest string, same boolean")
+    plan = F.concat(F.lit('{"only": null, "models": ["n'), F.col("n_nationkey").cast("string"), F.lit('", "r'), F.col("n_regionkey").cast("string"), F.lit('"]}'))
+    return Data(spark, path).nation.select("n_nationkey", reconcile.plan_digest(plan).alias("digest"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM events")
+def t7_time_literals(spark, path):
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(event_second("ts").cast("string"))
+    return Data(spark, path).events.select("event_id", facts.time_seconds(text).alias("seconds"))
+
+
+@query("SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' UNION SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linestatus = 'O'")
+def u2_set_union(spark, path):
+    rules = [rule({"s": "$S"}, ("lineitem", {"l_suppkey": "$S", "l_returnflag": "R"})), rule({"s": "$S"}, ("lineitem", {"l_suppkey": "$S", "l_linestatus": "O"})), rule({"s": "$S"}, ("r", {"s": "$S"}))]
+    return Engine(Relations({"lineitem": Data(spark, path).lineitem}), rules).query("r")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 2")
+def u5_e6_shadowed_rules(spark, path):
+    of = lambda region: {"of_region": Rule.parse(rule({"name": "$N"}, ("nation", {"n_name": "$N", "n_regionkey": region})), "of_region")}
+    return Engine(Relations({"nation": Data(spark, path).nation}), shadowed([of(1), of(2)])).query("r")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import ids, json_values
 from lakeloom.operators import catalog, facts, reconcile, schemas, search
 from lakeloom.plans.engine import Engine
+from lakeloom.plans.lineage import shared_folder
 from lakeloom.plans.relations import Relations, Scope
 from lakeloom.plans.rules import CONVERGENCE_RULES
 from lakeloom.queries import _DOC_FACTS_SQL, _ENTRIES_SQL, _FACTS_SQL, _MID, _MEMBERS_SQL, NOW, Data, _middle, _registry, conversation_members, document_entries, document_facts, event_facts, query, rule
@@ -78,10 +79,14 @@ def s22_manifest(spark, path):
     return formats.manifest_rows(Data(spark, path).nation.select(record.alias("record"))).select("entry_type", "target", "status")
 
 
-@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS bad FROM nation")
+@query("SELECT event_id, event_type, (SELECT count(*) FROM events WHERE event_type = 'error') AS rejected FROM events WHERE event_type <> 'error'")
 def s10_s11_ndjson_lines(spark, path):
-    line = F.when(F.col("n_nationkey") % 2 == 0, "{broken").otherwise('{"a":1}')
-    return Data(spark, path).nation.select("n_nationkey", F.try_parse_json(line).isNull().alias("bad"))
+    folder = shared_folder(spark, "lines")
+    line = F.when(F.col("event_type") == "error", "{broken").otherwise(F.to_json(F.struct("event_id", "event_type")))
+    Data(spark, path).events.select(line.alias("value")).write.text(folder)
+    rejected = formats.ndjson_lines(spark, folder).agg(F.count("error").alias("rejected"))
+    rows = formats.read_ndjson(spark, folder, strict=False).select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), F.get_json_object("record", "$.event_type").alias("event_type"))
+    return rows.crossJoin(F.broadcast(rejected))  # one row
 
 
 @query("SELECT doc_id, 'raw/2024/01/02/' || substr(sha256(text), 1, 16) || '.txt' AS stored FROM documents")
@@ -158,13 +163,13 @@ def i12_write_validation(spark, path):
     return Data(spark, path).documents.select("doc_id", facts.invalid(args, F.lit("observation")).alias("bad"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id % 30 AS a, event_id % 30 AS b FROM events WHERE event_type = 'view' AND event_id % 10 = 0 AND event_id < 500), c AS (SELECT a, b FROM e UNION SELECT e.a, c.b FROM e JOIN c ON e.b = c.a) SELECT CAST(a AS VARCHAR) AS \"from\", CAST(b AS VARCHAR) AS \"to\" FROM c")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, event_id AS b FROM events WHERE event_type = 'view' AND event_id <= (SELECT (min(event_id) + max(event_id)) // 2 FROM events WHERE event_type = 'view')), c AS (SELECT a, b FROM e UNION SELECT e.a, c.b FROM e JOIN c ON e.b = c.a) SELECT CAST(a AS VARCHAR) AS \"from\", CAST(b AS VARCHAR) AS \"to\" FROM c")
 def t6_closure_as_of(spark, path):
-    e = Data(spark, path).events.where("event_type = 'view' AND event_id % 10 = 0")
-    args = F.concat(F.lit('{"from":'), (F.col("user_id") % 30).cast("string"), F.lit(',"to":'), (F.col("event_id") % 30).cast("string"), F.lit("}"))
+    e = Data(spark, path).events.where("event_type = 'view'")
+    args = F.concat(F.lit('{"from":'), F.col("user_id").cast("string"), F.lit(',"to":'), F.col("event_id").cast("string"), F.lit("}"))
     none = F.lit(None)
     f = e.select(F.col("event_id").cast("string").alias("id"), F.lit("model_depends_on").alias("relation"), args.alias("args"), F.col("event_id").alias("valid_start"), none.cast("long").alias("valid_end"), F.lit(0).cast("long").alias("tx_start"), none.cast("long").alias("tx_end"), F.lit("s").alias("source"), none.cast("string").alias("provenance"))
-    return Engine(Relations(facts=f), CONVERGENCE_RULES).query("depends_transitive", scope=Scope(valid_at=499))
+    return Engine(Relations(facts=f), CONVERGENCE_RULES).query("depends_transitive", scope=Scope(valid_at=_middle(f)))
 
 
 @query(f"WITH {_FACTS_SQL} SELECT source, count(*) AS n FROM facts, {_MID} WHERE valid_start > m AND source = 'u1' GROUP BY source")
@@ -305,13 +310,13 @@ def u4_intersection(spark, path):
     return Engine(Relations({"lineitem": li, "open": li.where("l_linestatus = 'O'").select("l_suppkey").distinct()}), rules).query("r")
 
 
-@query("SELECT event_id, ts FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id LIMIT 50")
+@query(f"WITH {_FACTS_SQL} SELECT event_id, row_number() OVER (ORDER BY valid_start, id) AS place FROM facts WHERE relation = 'purchase' ORDER BY valid_start, id LIMIT 50")
 def o6_history_order(spark, path):
-    return Data(spark, path).events.where("event_type = 'purchase'").orderBy("ts", "event_id").limit(50).select("event_id", "ts")
+    rows = facts.history(event_facts(spark, path), "purchase").limit(50)
+    return rows.withColumn("place", F.monotonically_increasing_id() + 1).select("event_id", "place")
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def st2_record_dedup(spark, path):
-    d = Data(spark, path).documents
-    rows = d.withColumn("content_hash", ids.content_hash(F.col("text"))).withColumn("_r", F.row_number().over(Window.partitionBy("content_hash").orderBy("doc_id")))
-    return rows.where("_r = 1").select("doc_id", "source")
+    rows = Data(spark, path).documents.withColumn("content_hash", ids.content_hash(F.col("text")))
+    return imports.new_items(rows, spark.createDataFrame([], "content_hash string"), ["doc_id"]).select("doc_id", "source")

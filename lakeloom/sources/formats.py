@@ -10,6 +10,7 @@ import csv
 import gzip
 import io
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: How much of a file its format is told from.
 PROBE = 4096
+#: Bytes up to which a JSON file is parsed as one value.
+WHOLE = 16 << 20
 RECORDS = "path string, position long, record string, error string"
 
 
@@ -108,22 +111,85 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(inflate, "path string, content string")
 
 
+def ndjson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, record, error)`` a line that is not blank: the record, or what is wrong."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
+    bad = F.try_parse_json("value").isNull()
+    return lines.select("path", F.when(~bad, F.col("value")).alias("record"), F.when(bad, F.concat(F.lit("not JSON: "), F.substring("value", 1, 80))).alias("error"))
+
+
 def read_ndjson(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``(path, record)`` a line; a bad line is an error when strict and dropped otherwise; blank lines are skipped."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record")).where(F.trim("record") != "")
+    """``(path, record)`` a line; a bad line is an error when strict and left out otherwise (see :func:`ndjson_lines`)."""
+    lines = ndjson_lines(spark, path)
     if not strict:
-        return lines.where(F.try_parse_json("record").isNotNull())
-    checked = F.when(F.try_parse_json("record").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.substring("record", 1, 80)))).otherwise(F.col("record"))
-    return lines.select("path", checked.cast("string").alias("record"))
+        return lines.where("error is null").select("path", "record")
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("record"))
+    return lines.select("path", checked.alias("record"))
+
+
+def _elements(files: DataFrame) -> DataFrame:
+    """``(path, position, text)``: the texts of a list's elements, or the whole text, cut without building values."""
+    space = re.compile(r"[ \t\n\r]*")
+
+    def cut(text: str) -> Iterator[str]:
+        scan = json.JSONDecoder().raw_decode
+        at = space.match(text).end()
+        if text[at : at + 1] != "[":
+            yield text
+            return
+        at = space.match(text, at + 1).end()
+        while text[at : at + 1] != "]":
+            end = scan(text, at)[1]
+            yield text[at:end]
+            at = space.match(text, end).end()
+            if text[at : at + 1] == ",":
+                at = space.match(text, at + 1).end()
+            elif text[at : at + 1] != "]":
+                raise ValueError(f"neither a comma nor an end at {at}")
+        if text[at + 1 :].strip():
+            raise ValueError(f"text after the list at {at}")
+
+    def batch_of(path: str, first: int, texts: list[str | None]) -> pa.RecordBatch:
+        columns = [pa.array([path] * len(texts), pa.string()), pa.array(range(first, first + len(texts)), pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["path", "position", "text"])
 
-
-def json_records(files: DataFrame) -> DataFrame:
-    """``(path, position, record)`` from ``(path, content)``: the elements of a list, or the one document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time
+                path, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                at, held, size = 0, [], 0
+                try:
+                    for element in cut(text):
+                        held.append(element)
+                        size += len(element)
+                        if len(held) >= 10_000 or size > 8 << 20:
+                            yield batch_of(path, at, held)
+                            at, held, size = at + len(held), [], 0
+                except (ValueError, RecursionError):
+                    held.append(None)
+                yield batch_of(path, at, held)
+
+    return files.select("path", "content").mapInArrow(run, "path string, position long, text string")
+
+
+def json_records(files: DataFrame, tolerant: bool = False) -> DataFrame:
+    """``(path, position, record)`` from ``(path, content)``: the elements of a list, or the one document.
+
+    Files over ``WHOLE`` bytes are cut into elements first, so that a list has no largest size. Text that is not JSON
+    is an error, or if tolerant, a row with an ``error`` instead of a record, after the elements before it.
+    """
+    small = files.where(F.octet_length("content") <= WHOLE)
     whole = F.try_parse_json("content")
     elements = F.when(F.trim("content").startswith("["), F.try_variant_get(whole, "$", "array<variant>"))
     listed = F.transform(elements, lambda v: F.to_json(v))
-    rows = files.select("path", F.posexplode_outer(F.coalesce(listed, F.array(F.to_json(whole)))).alias("position", "record"))
-    return rows.select("path", F.col("position").cast("long").alias("position"), "record")
+    rows = small.select("path", F.posexplode_outer(F.coalesce(listed, F.array(F.to_json(whole)))).alias("position", "record"))
+    rows = rows.select("path", F.col("position").cast("long").alias("position"), "record").where("position is not null")
+    large = _elements(files.where(F.octet_length("content") > WHOLE)).select("path", "position", F.to_json(F.try_parse_json("text")).alias("record"))
+    rows = rows.unionByName(large)
+    bad, text = F.col("record").isNull(), F.concat(F.lit("not JSON: "), F.col("path"))
+    if tolerant:
+        return rows.withColumn("error", F.when(bad, text))
+    return rows.withColumn("record", F.when(bad, F.raise_error(text).cast("string")).otherwise(F.col("record")))
 
 
 def _python_records(files: DataFrame, parse) -> DataFrame:
@@ -141,8 +207,6 @@ def yaml_records(files: DataFrame) -> DataFrame:
     """A record for every document between ``---`` lines; one that cannot be read gives an error."""
 
     def parse(content: str) -> Iterator[tuple[str | None, str | None]]:
-        import re
-
         import yaml
 
         for part in re.split(r"(?m)^---\s*$", content):
@@ -197,7 +261,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     lines = of("ndjson").select("path", F.posexplode(F.split("content", "\n")).alias("position", "record")).where(F.trim("record") != "")
     bad = F.try_parse_json("record").isNull()
     lines = lines.select("path", F.col("position").cast("long").alias("position"), F.when(~bad, F.col("record")).alias("record"), F.when(bad, F.concat(F.lit("line "), F.col("position") + 1)).alias("error"))
-    parts = [json_records(of("json")).withColumn("error", none), lines, yaml_records(of("yaml")), csv_records(of("csv")), generic_records(of("unknown")).withColumn("error", none)]
+    parts = [json_records(of("json"), tolerant=True), lines, yaml_records(of("yaml")), csv_records(of("csv")), generic_records(of("unknown")).withColumn("error", none)]
     out = parts[0].select("path", "position", "record", "error")
     for part in parts[1:]:
         out = out.unionByName(part.select("path", "position", "record", "error"))

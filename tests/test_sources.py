@@ -171,3 +171,21 @@ def test_imported_collections_are_listed(spark, tmp_path):
     assert len(rows) == 2 and all(r["format"] == "json" and r["import_timestamp"] and r["collection_id"] == "c1" and r["size_bytes"] == 7 for r in rows)
     assert len(w.catalog().columns) == 26 and w.list_catalog(Filters(entry_types=("collection",))).first()["record_count"] == 1
     assert w.store.tables.read("payloads", imports.PAYLOADS).count() == 2
+
+
+@pytest.mark.parametrize("whole", [formats.WHOLE, 0])
+def test_json_files_of_any_size(spark, monkeypatch, whole):
+    monkeypatch.setattr(formats, "WHOLE", whole)
+    files = [("list", ' [ {"b": 1, "a": "x,]"} ,2,\n[3, [4]], null , "\u00e9" ] '), ("one", '{"b":2,"a":{"c":[]}}'), ("none", "[]"), ("bad", '[{"a":1}, {"a":}]'), ("cut", '[1, 2')]
+    rows = formats.json_records(spark.createDataFrame(files, "path string, content string"), tolerant=True).collect()
+    got = {p: [r["record"] for r in sorted(rows, key=lambda r: r["position"]) if r["path"] == p and not r["error"]] for p, _ in files}
+    assert got["list"] == ['{"a":"x,]","b":1}', "2", "[3,[4]]", "null", '"é"'] and got["one"] == ['{"a":{"c":[]},"b":2}'] and got["none"] == []
+    assert {r["path"] for r in rows if r["error"]} == {"bad", "cut"}
+    with pytest.raises(Exception, match="not JSON: cut"):
+        formats.json_records(spark.createDataFrame(files[4:], "path string, content string")).collect()
+
+
+def test_a_json_list_of_over_128_megabytes(spark):
+    files = spark.range(1).selectExpr("'big' AS path", "concat('[', array_join(transform(sequence(1, 35000), k -> concat('{\"k\":', k, ',\"v\":\"', repeat('x', 4000), '\"}')), ','), ']') AS content")
+    rows = formats.json_records(files).selectExpr("position", "get_json_object(record, '$.k')::long AS k", "length(record) AS n")
+    assert rows.agg(F.count("*"), F.sum("k"), F.max("position"), F.min("n")).first()[:3] == (35_000, 35_000 * 35_001 // 2, 34_999)
