@@ -7,8 +7,8 @@ weighs their states, and a logistic unit scores the pooled state. Training is pl
 task, on a sample of labelled rows whose bound is a parameter; every text is scored whole, over all windows
 that overlap by half, and takes the score of its worst window.
 
-Cases: null text is the empty text; a text without words scores 0; repeated rows
-get equal scores; labels that are null are not learned from, of several labels of a document the highest
+Cases: null text is the empty text; a text without words scores 0; very long texts and words are read whole; repeated
+rows get equal scores, and of the texts of a repeated id one is learned from; labels that are null are not learned from, of several labels of a document the highest
 counts; without labels of both kinds all scores are 0; extra columns are ignored.
 """
 
@@ -48,13 +48,22 @@ class Settings:
     seed: int = 11
 
 
-def grams(word: bytes) -> set[bytes]:
-    """Character 3- to 6-grams of a word with its ends marked."""
-    marked = b"<" + word[:40] + b">"
+def _pieces(marked: bytes, size: int = 4096) -> Iterator[bytes]:
+    """A word in pieces that share their ends, so that every 6-gram is in one."""
+    for at in range(0, max(1, len(marked) - 5), size - 5):
+        yield marked[at : at + size]
+
+
+def _grams(marked: bytes) -> set[bytes]:
     size = len(marked)
     return {marked[i:j] for i in range(size - 2) for j in range(i + 3, min(i + 6, size) + 1)}
 
 
+def grams(word: bytes) -> set[bytes]:
+    """Character 3- to 6-grams of a whole word with its ends marked."""
+    return _grams(b"<" + word + b">")
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -95,9 +104,9 @@ class Network:
 
     def describe(self, word: bytes) -> tuple[float, float, int, list[int]]:
         """Known word strength, known character strength, row of the word table, buckets of the character table."""
-        known = grams(word) & self.gram_names
+        marked, digest, buckets = b"<" + word + b">", xxhash.xxh32_intdigest, self.s.buckets
+        known = set().union(*(_grams(piece) & self.gram_names for piece in _pieces(marked)))
         strength = max(map(self.grams.__getitem__, known)) if known else 0.0
-        marked, digest, buckets = b"<" + word[:40] + b">", xxhash.xxh32_intdigest, self.s.buckets
         short = {marked[i : i + 3] for i in range(len(marked) - 2)}
         return self.words.get(word, 0.0), strength, self.word_row.get(word, 0), sorted([digest(g) % buckets for g in short])
 
@@ -385,15 +394,16 @@ def texts_of(words: list[list[bytes]]) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes | None:
     """The trained network, from labelled rows that meet ``learn`` (a predicate on the id).
 
-    The sample has at most ``2 * train_each`` rows of at most ``train_chars`` characters, taken by the hash of
-    their id, so the broadcast of its ids and the one task that trains are bounded.
+    The sample has at most ``2 * train_each`` ids, taken by their hash, and one text of at most ``train_chars``
+    characters for each, so the broadcast of its ids and the one task that trains are bounded.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & learn).groupBy(F.col(id_col).alias("_k")).agg(F.max(label_col).alias("_y"))
     pick = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(settings.train_each)
     sample = pick(1).union(pick(0))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.coalesce(F.char_length("_t"), F.lit(0)) <= settings.train_chars)
-    rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_k")).select("_t", "_y", F.xxhash64("_k", "_t").alias("_h"))
+    rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_k")).select("_k", "_t", "_y", F.xxhash64("_k", "_t").alias("_h"))
+    rows = rows.groupBy("_k").agg(F.min_by(F.struct("_t", "_y", "_h"), F.struct("_h", "_t")).alias("r")).select("r.*")
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((h, t or "", y) for b in batches for t, y, h in zip(*(c.to_pylist() for c in b.columns)))
@@ -407,6 +417,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, learn: F.Column,
 def score(docs: DataFrame, model: bytes | None, settings: Settings, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, *keep, score)`` of every whole text."""
     ship(docs.sparkSession)
+    if "score" in (id_col, *keep):
+        raise ValueError("the column score is added here and cannot be kept")
     columns = [id_col, *(c for c in keep if c != id_col)]
     held = docs.sparkSession.sparkContext.broadcast(model)
 

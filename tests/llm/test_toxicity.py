@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.toxicity import Network, Settings, fit, score, train, windows_of
+from lakeloom.llm.common import ALNUM_WORDS, lower_bytes
+from lakeloom.llm.toxicity import Network, Settings, fit, grams, score, train, windows_of
 
 SMALL = Settings(window=16, stride=8, epochs=6, train_each=200)
 
@@ -50,6 +52,8 @@ def test_windows_cover_a_text():
 def test_held_out_accuracy(spark, nothing):
     rows = corpus(420, 1)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    with pytest.raises(ValueError, match="score"):
+        score(docs, None, SMALL, keep=("score",))
     labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows] + [(5, 0, None)], "doc_id long, quality int, toxic int")
     model = fit(docs, labels, SMALL, F.col("doc_id") % 4 != 1)
     scores = {r["doc_id"]: r["score"] for r in score(docs, model, SMALL).collect()}
@@ -75,3 +79,61 @@ def test_model_survives_storage():
     again = Network.load(SMALL, net.dump())
     texts = [t for _, t, _ in rows[:20]]
     assert np.allclose(net.scores(texts), again.scores(texts), atol=1e-5)
+
+
+def plain_score(net, text):
+    """The score by its definition: every window on its own, one word at a time."""
+    w, s = net.w, net.s
+    words = ALNUM_WORDS.findall(lower_bytes(text))
+    if not words:
+        return 0.0
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = s.hidden
+
+    def vector(word):
+        known, strength, row, buckets = net.describe(word)
+        return np.concatenate(([known, strength], w["word"][row], w["char"][buckets].mean(axis=0)))
+
+    def run(xs, side):
+        state, out = np.zeros(h), []
+        for x in xs:
+            part, rec = x @ w[f"x{side}"] + w[f"c{side}"], state @ w[f"u{side}"]
+            z, r = sig(part[:h] + rec[:h]), sig(part[h : 2 * h] + rec[h : 2 * h])
+            fresh = np.tanh(part[2 * h :] + r * rec[2 * h :])
+            state = (1 - z) * fresh + z * state
+            out.append(state)
+        return out
+
+    worst = -np.inf
+    for a, b in windows_of(len(words), s.window, s.stride):
+        xs = [vector(x) for x in words[a:b]]
+        states = np.array([np.concatenate(p) for p in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])])
+        energy = np.tanh(states @ w["att"]) @ w["v"]
+        weight = np.exp(energy - energy.max())
+        worst = max(worst, (weight / weight.sum()) @ states @ w["out"] + w["bias"][0])
+    return sig(worst * w["fit"][0] + w["fit"][1])
+
+
+def test_scores_against_brute_force():
+    rows = corpus(90, 3)
+    net = train([t for _, t, _ in rows], [y for _, _, y in rows], SMALL)
+    texts = [t for _, t, _ in rows[:15]] + ["", None, "ta", "ta " * 16, " ".join(t for _, t, _ in rows[:6]), "lo" * 100 + " ta"]
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=2e-4)
+
+
+def test_long_words_are_read_to_their_end():
+    rows = corpus(120, 4)
+    net = train([t for _, t, _ in rows], [y for _, _, y in rows], SMALL)
+    for size in (40, 4090, 4094, 100_000):
+        clean = ("talo" * size)[:size]
+        assert net.describe((clean + "vilro").encode())[1] > net.describe(clean.encode())[1]
+    assert grams(b"x" * 5000) == {b"<xx", b"<xxx", b"<xxxx", b"<xxxxx", b"xxx", b"xxxx", b"xxxxx", b"xxxxxx", b"xx>", b"xxx>", b"xxxx>", b"xxxxx>"}
+    net.scores(["w" * 3_000_000 + " ta " * 300_000])
+
+
+def test_one_text_of_a_repeated_id_is_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n: seen.append(self.count()) or self.coalesce(n))
+    docs = spark.createDataFrame([(k % 2, f"ta lo {k}") for k in range(500)], "doc_id long, text string")
+    fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), SMALL, F.lit(True))
+    assert seen == [2]
