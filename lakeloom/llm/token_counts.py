@@ -2,11 +2,12 @@
 
 The cache is a Parquet table ``(content_digest, tokenizer_digest, n_tokens)``. Documents are joined to it
 on the SHA-256 of their content and of the tokenizer file; only distinct texts that it lacks are encoded,
-and their counts are appended. Content is normalised no further than null to the empty text: any other
+and their counts are appended. A run reads the cache's digests for its tokenizer and copies only the counts that its
+own texts need. Content is normalised no further than null to the empty text: any other
 normalisation could change a count.
 
 Cases: null text counts as empty (0 bytes, and 0 tokens); repeated rows each keep their row; an empty
-table gives an empty result; extra columns are ignored. Copies meet after a map-side merge, so one text
+table gives an empty result; very long texts are encoded whole; extra columns are ignored. Copies meet after a map-side merge, so one text
 that fills a third of the table sends one row per task to its reducer.
 """
 
@@ -71,23 +72,22 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, id_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col), text.alias("_content"), F.sha2(text, 256).alias("content_digest"))
 
-    # Opens the cache, empty where it is new.
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    scratch = Scratch(spark, "token-counts")
+    rows = scratch.save(keyed.select(id_col, "content_digest", F.octet_length("_content").cast("long").alias("n_bytes")), "rows")
+
+    # Opens the cache, empty where it is new, and takes from it what this table needs.
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == tokenizer)
+    needed = cache.join(rows.select("content_digest").distinct(), "content_digest", "left_semi")
+    held = scratch.save(needed.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "held")  # two writers may have appended the same text
 
     distinct = keyed.groupBy("content_digest").agg(F.first("_content").alias("_content"))
-    misses = distinct.join(cache.select("content_digest"), "content_digest", "left_anti").select("content_digest", "_content")
-    misses.mapInArrow(encoder(model_path, tokenizer), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-
-    known = Scratch(spark, "token-counts").save(
-        spark.read.schema(CACHE_SCHEMA)
-        .parquet(cache_path)
-        .where(F.col("tokenizer_digest") == tokenizer)
-        .groupBy("content_digest")  # two writers may have appended the same text
-        .agg(F.max("n_tokens").alias("n_tokens")),
-        "known",
-    )  # written, so that the join below is between plain exchanges, which can be split where a text has many copies
-    rows = keyed.select(id_col, "content_digest", F.octet_length("_content").cast("long").alias("n_bytes"))
+    misses = distinct.join(held.select("content_digest"), "content_digest", "left_anti").select("content_digest", "_content")
+    fresh = scratch.save(misses.mapInArrow(encoder(model_path, tokenizer), CACHE_SCHEMA), "fresh")
+    fresh.write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
+
+    # Both are written, so that the join below is between plain exchanges, which can be split where a text has many copies.
+    known = held.unionByName(fresh.select("content_digest", "n_tokens"))
     return rows.join(known, "content_digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
