@@ -9,8 +9,10 @@ sketches, sized by the spread of the counts and at least doubled. Likeness is tw
 
 Cases: null text is the empty text, which has no digests and is like only another empty one (1) and nothing
 else (0); repeats of a digest are told apart by their number; a text never fails, since sizes grow until
-peeling succeeds; repeated rows and null ids have a place in the order like any other row; ids are numbers; an
-empty table gives no rows and extra columns are ignored.
+peeling succeeds; repeated rows and null ids have a place in the order like any other row, and the
+texts of one id are ordered by their hash; ids are numbers; very long texts are taken whole; an empty table gives no
+rows and extra columns are ignored. White space around a text and between pieces is no part of a digest, so texts that
+differ in nothing else have a likeness of 1.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ import base64
 import hashlib
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import input_partitions, ship
+from lakeloom.llm.common import input_partitions, pieces_of, ship
 
 #: Cells of a fingerprint, a multiple of three.
 CELLS = 48
@@ -171,28 +174,38 @@ def edited_text(text: str, following: str) -> str:
 def version_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """Every text beside its edited version and the next text by ascending id; after the last comes the first.
 
-    Texts are dealt once, into id ranges between quantiles; the first row of a range is also sent to the range
-    before it, so each range is walked through on its own. That is one extra row for each range.
+    Ranges of ids and text hashes are cut by Spark's range partitioning of those two alone. Texts are then dealt once,
+    to their ranges, and the first row of a range is also sent to the range before it, so each range is walked through
+    on its own. That is one extra row for each range; the driver sees the first id and hash of each.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     tasks = input_partitions(spark) * 2
-    parts = tasks * 6  # several ranges a task even out
-    cuts = docs.selectExpr(f"approx_percentile(`{id_col}`, array({', '.join(str(k / parts) for k in range(1, parts))})) AS c").first()["c"] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    placed = rows.withColumn("_part", F.when(F.col("_id").isNull(), 0).otherwise(_part_of(cuts)))
-
-    # The first row of each range, by id and then text digest, as one small row for each range.
-    key = F.struct(F.col("_id").isNotNull().alias("k"), F.col("_id").alias("i"), F.sha2("_text", 256).alias("d"))
-    heads = placed.groupBy("_part").agg(F.min(key).alias("_head"))
-    order = Window.orderBy("_part")
-    heads = heads.select("_head", F.coalesce(F.lag("_part").over(order), F.max("_part").over(Window.partitionBy())).alias("_to"), F.lag("_part").over(order).isNull().alias("_wraps")).collect()
-    firsts = spark.createDataFrame([(h["_head"]["i"], h["_head"]["d"], h["_to"], h["_wraps"]) for h in heads], f"_i {docs.schema[id_col].dataType.simpleString()}, _d string, _to int, _wraps boolean")
-    peeks = rows.join(F.broadcast(firsts), F.col("_id").eqNullSafe(F.col("_i"))).where(F.sha2("_text", 256) == F.col("_d"))
-    peeks = peeks.dropDuplicates(["_i", "_d", "_to"]).select("_id", "_text", F.col("_to").alias("_part"), F.when(F.col("_wraps"), 2).otherwise(1).alias("_last"))
-    dealt = placed.select("_id", "_text", F.col("_part").cast("int").alias("_part"), F.lit(0).alias("_last")).unionByName(peeks)
-    dealt = dealt.repartition(tasks, "_part").sortWithinPartitions("_part", "_last", F.col("_id").asc_nulls_first(), F.sha2("_text", 256))
+    ranges = tasks * 6  # several ranges a task even out
+    slim = rows.select("_id", "_h").repartitionByRange(ranges, F.col("_id").asc_nulls_first(), "_h")
+    heads = slim.withColumn("_pid", F.spark_partition_id()).groupBy("_pid").agg(F.min(F.struct(F.col("_id").isNotNull().alias("k"), F.col("_id").alias("i"), F.col("_h").alias("h"))).alias("head")).collect()
+    cuts = sorted({(int(r["head"]["k"]), r["head"]["i"] if r["head"]["k"] else 0, r["head"]["h"]) for r in heads})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their range; a row that is the first of a range comes again for the range before (``_last`` 1), or for
+        the last range (2)."""
+        starts = {cut: k for k, cut in enumerate(cuts)}
+        for batch in pieces_of(batches, 4096):
+            names = [(0 if i is None else 1, i or 0, h) for i, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            home = pa.array([bisect_right(cuts, n) - 1 for n in names], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), home, pa.array([0] * len(names), pa.int32())], columns)
+            first = {starts[n]: k for k, n in enumerate(names) if n in starts}  # one of equal rows
+            if first:
+                again = batch.take(pa.array(list(first.values())))
+                before = [(part - 1) % len(cuts) for part in first]
+                kinds = [1 if part else 2 for part in first]
+                yield pa.RecordBatch.from_arrays([again.column(0), again.column(1), pa.array(before, pa.int32()), pa.array(kinds, pa.int32())], columns)
+
+    columns = ["_id", "_text", "_part", "_last"]
+    dealt = rows.mapInArrow(place, f"_id {kind}, _text string, _part int, _last int")
+    dealt = dealt.repartition(tasks, "_part").sortWithinPartitions("_part", "_last", F.col("_id").asc_nulls_first(), F.xxhash64("_text"), "_text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -225,18 +238,6 @@ def version_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kind = docs.schema[id_col].dataType.simpleString()
     out = dealt.mapInArrow(compare, f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("_id", id_col)
 
-
-def _part_of(cuts: list) -> F.Column:
-    """How many cuts are at most the id, as a balanced tree of comparisons."""
-
-    def tree(low: int, high: int) -> F.Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("_id") < F.lit(cuts[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(cuts))

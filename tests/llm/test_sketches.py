@@ -62,3 +62,14 @@ def test_an_edit_is_nearer_than_another_text():
         a, b = text(), text()
         own = paragraph_digests(a)
         assert likeness(own, paragraph_digests(edited_text(a, b))) > 0.6 > 0.1 > likeness(own, paragraph_digests(b))
+
+
+def test_a_repeated_id_and_very_long_texts(spark):
+    rng = random.Random(9)
+    rows = [(7, " ".join(f"w{rng.randrange(99)}d" for _ in range(20)) + f" {k}") for k in range(300)] + [(1, "a " * 400_000 + "end. " * 100_000), (9, "z"), (None, "n")]
+    got = version_sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 7 for r in got) == 300
+    edited = {r["edited_sha256"] for r in got}
+    one = next(t for i, t in rows if i == 1)
+    assert sum(hashlib.sha256(edited_text(one, t).encode()).hexdigest() in edited for i, t in rows if i == 7) == 1  # the first by hash follows
+    assert hashlib.sha256(edited_text("n", one).encode()).hexdigest() in edited and hashlib.sha256(edited_text("z", "n").encode()).hexdigest() in edited
