@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import ALNUM_WORDS, lower_bytes
@@ -133,7 +132,7 @@ def test_long_words_are_read_to_their_end():
 
 def test_one_text_of_a_repeated_id_is_learned_from(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(DataFrame, "repartition", lambda self, n: seen.append(self.count()) or self.coalesce(n))
     docs = spark.createDataFrame([(k % 2, f"ta lo {k}") for k in range(500)], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n: seen.append(self.count()) or self.coalesce(n))
     fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), SMALL, F.lit(True))
     assert seen == [2]
