@@ -69,7 +69,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_matches(_table(spark, sf_dir, "documents"))
     base = F.filter("matches", lambda m: m["base"])
     starts = F.transform(base, lambda m: m["start"])
-    accepted = F.exists("matches", lambda m: ~m["base"])
     return found.select(
         "doc_id",
         "n_words",
@@ -78,7 +77,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         _joined(F.transform(base, lambda m: m["label"])).alias("base_labels"),
         _joined(F.transform("matches", lambda m: m["label"])).alias("labels"),
-        F.when(accepted, 1.0).when(F.size("matches") > 0, 0.5).otherwise(0.0).alias("score"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
     )
 
 
@@ -137,14 +136,16 @@ def template_pattern(markup: str) -> str:
 
 def licenses_sql() -> str:
     phrases = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for label, phrase in licenses.BASE_PHRASES)
-    templates = ", ".join(f"CASE WHEN regexp_matches(line, '{template_pattern(markup)}') THEN '{label}' END" for label, markup in licenses.TEMPLATES)
+    score = lambda template: repr(licenses.compile_template(*template).score)
+    templates = ", ".join(f"CASE WHEN regexp_matches(line, '{template_pattern(markup)}') THEN {{{{'label': '{label}', 'score': {score((label, markup))}::DOUBLE}}}} END" for label, markup in licenses.TEMPLATES).replace("{{", "{").replace("}}", "}")
+    bases = " ".join(f"WHEN '{label}' THEN {score((label, phrase))}::DOUBLE" for label, phrase in licenses.BASE_PHRASES)
     return f"""WITH w AS ({_words_sql("documents", "doc_id")}), l AS (SELECT doc_id, ws, len(ws) AS n, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w),
 c AS (SELECT doc_id, ws, n, label, phrase, k FROM l, (VALUES {phrases}) t(label, phrase, k) WHERE contains(line, ' ' || phrase || ' ')),
 h AS (SELECT doc_id, label, i - 1 AS start FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM c) WHERE array_to_string(list_slice(ws, i, i + k - 1), ' ') = phrase),
-b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base FROM h GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base, max(CASE label {bases} END) AS worth FROM h GROUP BY doc_id),
 m AS (SELECT doc_id, list_filter([{templates}], lambda x: x IS NOT NULL) AS own FROM l)
 SELECT l.doc_id, l.n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), own))), ',') AS labels, CASE WHEN len(own) > 0 THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), list_transform(own, lambda x: x.label)))), ',') AS labels, coalesce(greatest(list_max(list_transform(own, lambda x: x.score)), worth), 0.0::DOUBLE) AS score
 FROM l JOIN m USING (doc_id) LEFT JOIN b USING (doc_id)"""
 
 
