@@ -1,25 +1,32 @@
-"""Deleted interpolation: a bigram model whose estimates are mixed by how often the context was seen.
-
-P(w | v) = m(v) c(v, w) / c(v) + (1 - m(v)) P(w), and P(w) = n c(w) / N + (1 - n) / (V + 1), where m depends
-on the bucket of c(v), its power of two. The weights are learned by expectation-maximisation: part of the
-training documents is deleted from the counts, and m and n are chosen to make that part likely. The final
-counts are those of all training documents.
-
-Texts are cut into chunks of bounded length. A chunk numbers its own words, and sends each distinct word and
-word pair that it holds once, as a 64-bit digest with two counts, to the bucket of that digest; the bucket
-adds up and answers every chunk in the order it asked in, so answers need no keys. A pair seen everywhere is
-sent once by each chunk. What is gathered grows with the distinct pairs of the chunks, and every table between
-steps is written to the shared folder. Expectation-maximisation needs only, for each bucket of contexts, a
-histogram of the ratio of the two estimates (16 bins to a doubling), which is all the driver sees.
-
-Cases: null text is the empty text, one end token; the end of the text before stands for the start; words that
-training lacks share the uniform part; without training documents, or without deleted ones, the weights are
-one half; repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+"""Deleted interpolation: a trigram model whose estimates are mixed by how often the context was seen.
+
+P(w | u, v) = l(u, v) c(u, v, w) / c(u, v) + (1 - l(u, v)) P(w | v), P(w | v) = m(v) c(v, w) / c(v) + (1 - m(v)) P(w), and
+P(w) = n c(w) / N + (1 - n) / (V + 1), where l and m depend on the bucket of the context's count, its power of two.
+The weights are learned by expectation-maximisation, from the lowest order up: part of the training documents is
+deleted from the counts, and the weights are chosen to make that part likely. The final counts are those of all
+training documents.
+
+Texts are cut into chunks of ``CHUNK_TOKENS`` tokens, a longer text into several, each of which begins with the two
+words before it. A chunk sends each distinct word, pair and triple that it holds once, as a digest with two counts, to
+the bucket of that digest; the bucket adds up and answers every chunk in the order it asked in, so answers need no
+keys. Buckets are ranges of the digests, as many as there are ``BUCKET_TOKENS`` tokens, so that a bucket has bounded
+size; digests go sorted, as the gaps between them. A chunk sends at most one message for each order and bucket and no
+more than it has keys, so messages never outnumber the keys. Digests of pairs and triples have 24 bits more than
+the number of tokens needs, so that one key in 16 million at most is taken for another; those of words have 64.
+Every table between steps is written to the shared folder. Expectation-maximisation needs only, for each bucket of
+contexts, a histogram of the ratio of the two estimates (16 bins to a doubling, with their means), which is all the driver sees.
+
+Cases: null text is the empty text, one end token; the end of the text before stands for the start, and the first word
+of a text has no triple; words that training lacks share the uniform part; without training documents, or without
+deleted ones, the weights are one half; repeated rows score alike; an empty table gives no rows; very long texts are
+cut and their parts added up; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SPACE_WORDS, Scratch, input_partitions, lower_bytes, pieces_of, release_memory, ship
+from lakeloom.llm.common import SPACE_WORDS, Scratch, lower_bytes, pieces_of, release_memory, ship
 
-CHUNK_TOKENS = 750_000
-#: Parts of the documents: scored only, counted, and deleted from the counts while weights are learned.
-UNSEEN, KEPT, DELETED = 0, 1, 2
+CHUNK_TOKENS, BUCKET_TOKENS = 600_000, 1_000_000
+#: Parts of the documents: scored only, counted, deleted from the counts while weights are learned; and words that a
+#: chunk only repeats from the one before.
+UNSEEN, KEPT, DELETED, CONTEXT = 0, 1, 2, 3
+ORDERS = (1, 2, 3)
 _BINS, _STEP, _CONTEXTS = 1280, 16, 64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -53,42 +63,75 @@ def expand(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def _slices(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces that end before white space."""
+    at = 0
+    while at < len(raw):
+        space = _SPACE.search(raw, at + size)
+        end = space.start() if space else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def chunker(id_type: pa.DataType):
-    """Documents to chunks: ids, parts, lengths, the chunk's word numbers, and the digests of its words."""
-    columns = ["chunk", "ids", "parts", "lengths", "tokens", "digests"]
+    """Documents to chunks: ids, numbers of texts in several chunks, parts, lengths, word numbers, digests of words."""
+    columns = ["chunk", "n_tokens", "ids", "texts", "parts", "lengths", "tokens", "digests"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial, number = 0, {b"": 0}
-        ids: list = []
-        parts: list[int] = []
-        coded: list[np.ndarray] = []
-        held = 0
+        serial = cut = held = 0
+        number: dict[bytes, int] = {b"": 0}
+        ids, texts, parts, lengths, coded = [], [], [], [], []
+        base = TaskContext.get().partitionId() << 24
+
+        def begin(id_, text: int | None, part: int) -> None:
+            ids.append(id_)
+            texts.append(text)
+            parts.append(part)
+            lengths.append(0)
+
+        def add(words: list[bytes]) -> None:
+            nonlocal held
+            for w in set(words).difference(number):
+                number[w] = len(number)
+            coded.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            lengths[-1] += len(words)
+            held += len(words)
 
         def out() -> pa.RecordBatch:
-            chunk = (TaskContext.get().partitionId() << 24) + serial
+            nonlocal serial, held
             digests = np.array([xxhash.xxh64_intdigest(w, 5) for w in number], np.uint64)
-            tokens = np.concatenate(coded)
-            row = [[chunk], [ids], [squeeze(np.array(parts))], [squeeze(np.array([len(c) for c in coded]))], [squeeze(tokens)], [digests.tobytes()]]
-            kinds = [pa.int64(), pa.list_(id_type), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], columns)
+            row = [base + serial, held, ids.copy(), texts.copy(), squeeze(np.array(parts)), squeeze(np.array(lengths)), squeeze(np.concatenate(coded)), digests.tobytes()]
+            number.clear()
+            number[b""] = 0
+            for held_list in (ids, texts, parts, lengths, coded):
+                held_list.clear()
+            serial, held = serial + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], columns)
 
         for batch in pieces_of(batches, 256):
             for id_, text, part in zip(*(c.to_pylist() for c in batch.columns)):
-                words = SPACE_WORDS.findall(lower_bytes(text))
-                for w in set(words).difference(number):
-                    number[w] = len(number)
-                line = np.zeros(len(words) + 1, np.int32)  # ends with the end token, 0
-                line[:-1] = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-                ids.append(id_)
-                parts.append(part)
-                coded.append(line)
-                held += len(line)
-            if held >= CHUNK_TOKENS:
-                yield out()
-                serial, number, ids, parts, coded, held = serial + 1, {b"": 0}, [], [], [], 0
-        if coded:
+                begin(id_, None, part)
+                last: list[bytes] = []
+                for piece in _slices(lower_bytes(text)):
+                    words = SPACE_WORDS.findall(piece)
+                    for at in range(0, len(words), CHUNK_TOKENS):
+                        some = words[at : at + CHUNK_TOKENS]
+                        add(some)
+                        last = (last + some[-2:])[-2:]
+                        if held >= CHUNK_TOKENS and lengths[-1]:
+                            if texts[-1] is None:
+                                texts[-1], cut = base + cut, cut + 1
+                            number_of_text = texts[-1]
+                            yield out()
+                            begin(None, None, CONTEXT)
+                            add(last)
+                            begin(id_, number_of_text, part)
+                add([b""])  # the end
+                if held >= CHUNK_TOKENS:
+                    yield out()
+        if ids:
             yield out()
-        number, coded, ids = {}, [], []
         release_memory()
 
     return run
@@ -102,58 +145,73 @@ def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     release_memory()
 
 
+def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29)) ^ (first << np.uint64(1))
+
+
 class Chunk:
-    """A chunk's tokens with their contexts, and its distinct words and pairs in the order of their buckets."""
+    """A chunk's tokens with their contexts."""
 
     def __init__(self, row: dict):
         self.parts, self.lengths, self.words = expand(row["parts"]), expand(row["lengths"]), expand(row["tokens"]).astype(np.int32)
-        self.digests = np.frombuffer(row["digests"], np.uint64)
         self.before = np.concatenate((np.zeros(1, np.int32), self.words[:-1]))  # a text begins after the end of another
-        codes = self.before.astype(np.int64) * len(self.digests) + self.words
-        self.pairs, place = np.unique(codes, return_inverse=True)
-        self.pair_of = place.astype(np.int32)
         self.part_of = np.repeat(self.parts.astype(np.int8), self.lengths)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Digests of the distinct words and of the distinct pairs."""
-        n = len(self.digests)
-        first, second = self.digests[self.pairs // n], self.digests[self.pairs % n]
-        x = first * np.uint64(0x9E3779B97F4A7C15) + second
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return self.digests, x ^ (x >> np.uint64(29)) ^ (first << np.uint64(1))
 
-    def counts(self, part: int) -> tuple[np.ndarray, np.ndarray]:
-        on = self.part_of == part
-        return np.bincount(self.words[on], minlength=len(self.digests)), np.bincount(self.pair_of[on], minlength=len(self.pairs))
+class Keys:
+    """The distinct words, pairs or triples of a chunk as sorted digests, and the place of every number's or token's own
+    there; the end is among the words even if no text ends in the chunk, since it is the context of a first word."""
+
+    def __init__(self, chunk: Chunk, digests: np.ndarray, order: int, bits: int):
+        values, word = digests, digests[chunk.words]
+        if order > 1:
+            values = pair = _mix(digests[chunk.before], word)
+        if order > 2:
+            values = _mix(np.concatenate((np.zeros(1, np.uint64), pair[:-1])), word)
+            values[chunk.before == 0] = 0  # no triple
+        self.bits = 64 if order == 1 else bits
+        self.distinct, place = np.unique(values >> np.uint64(64 - self.bits), return_inverse=True)
+        self.place = place.astype(np.int32)
+        self.of_token = self.place[chunk.words] if order == 1 else self.place
+
+    def counts(self, on: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of_token[on], minlength=len(self.distinct))
 
+    def ends(self, buckets: int) -> list[int]:
+        """Where each bucket ends: bucket k has the digests from k / buckets of all possible ones on."""
+        bounds = np.array([((k + 1) << self.bits) // buckets for k in range(buckets - 1)], np.uint64)
+        return [*np.searchsorted(self.distinct, bounds).tolist(), len(self.distinct)]
 
-def bucket_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys that groups them by bucket, and where each bucket ends."""
-    bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets, dtype=np.uint64), "right")
+
+def gaps(sorted_values: np.ndarray) -> bytes:
+    return squeeze(np.diff(sorted_values, prepend=np.uint64(0)))
+
+
+def from_gaps(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob).view(np.uint64), dtype=np.uint64)
 
 
 MESSAGE = "bucket long, chunk long, size int, keys binary, kept binary, deleted binary"
 ANSWER = "chunk long, bucket long, size int, kept binary, deleted binary, totals array<long>, histogram array<long>"
 
 
-def asker(buckets: int):
+def asker(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for row in single_rows(batches):
-            chunk = Chunk(row)
-            out = []
-            for size, keys, kept, deleted in zip((1, 2), chunk.keys(), chunk.counts(KEPT), chunk.counts(DELETED)):
-                order, ends = bucket_order(keys, buckets)
-                start = 0
-                for bucket, end in enumerate(ends.tolist()):
+            chunk, digests = Chunk(row), np.frombuffer(row["digests"], np.uint64)
+            for order in ORDERS:
+                keys = Keys(chunk, digests, order, bits)
+                kept, deleted = (keys.counts(chunk.part_of == part) for part in (KEPT, DELETED))
+                out, start = [], 0
+                for bucket, end in enumerate(keys.ends(buckets)):
                     if end > start:
-                        own = order[start:end]
-                        out.append((bucket, row["chunk"], size, keys[own].tobytes(), squeeze(kept[own]), squeeze(deleted[own])))
+                        out.append((bucket, row["chunk"], order, gaps(keys.distinct[start:end]), squeeze(kept[start:end]), squeeze(deleted[start:end])))
                     start = end
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            for at in range(0, len(out), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 512]), kinds)], ["bucket", "chunk", "size", "keys", "kept", "deleted"])
+                for at in range(0, len(out), 512):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 512]), kinds)], ["bucket", "chunk", "size", "keys", "kept", "deleted"])
 
     return run
 
@@ -162,15 +220,16 @@ def add_up(group: pa.Table) -> pa.Table:
     """One bucket: the sums of every key, in the order that each chunk asked in, and totals over distinct words.
 
     ``totals``: kept tokens, deleted tokens, words that are kept, words of either kind. ``histogram``: deleted
-    tokens by the power of two (in sixteenths) of their word's kept count; the last entry is for kept counts of 0.
+    tokens by the power of two (in sixteenths) of their word's kept count, the last entry for kept counts of 0; then
+    the sums of those counts in the same bins.
     """
     rows = sorted(group.to_pylist(), key=lambda r: (r["size"], r["chunk"]))
     out = []
-    for size in (1, 2):
+    for size in ORDERS:
         own = [r for r in rows if r["size"] == size]
         if not own:
             continue
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
+        keys = [from_gaps(r["keys"]) for r in own]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.zeros(len(distinct), np.int64) for _ in range(2)]
         for held, name in zip(sums, ("kept", "deleted")):
@@ -181,53 +240,57 @@ def add_up(group: pa.Table) -> pa.Table:
         for r, k, end in zip(own, keys, ends):
             if size == 1 and totals is None:
                 totals = [int(kept.sum()), int(deleted.sum()), int((kept > 0).sum()), int((kept + deleted > 0).sum())]
-                histogram = np.zeros(_CONTEXTS * _STEP + 1, np.int64)
+                histogram = np.zeros((2, _CONTEXTS * _STEP + 1), np.int64)
                 seen = kept > 0
-                np.add.at(histogram, np.rint(np.log2(kept[seen]) * _STEP).astype(np.int64), deleted[seen])
-                histogram[-1] = deleted[~seen].sum()
-                histogram = histogram.tolist()
+                bins = np.rint(np.log2(kept[seen]) * _STEP).astype(np.int64)
+                np.add.at(histogram[0], bins, deleted[seen])
+                np.add.at(histogram[1], bins, deleted[seen] * kept[seen])
+                histogram[0, -1] = deleted[~seen].sum()
+                histogram = histogram.ravel().tolist()
             else:
                 totals, histogram = totals and [0] * 4, None
             mine = place[end - len(k) : end]
             out.append((r["chunk"], r["bucket"], size, squeeze(kept[mine]), squeeze(deleted[mine]), totals, histogram))
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    del rows, own, keys, distinct, place, sums
+    rows = own = keys = distinct = place = sums = None
     release_memory()
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["chunk", "bucket", "size", "kept", "deleted", "totals", "histogram"])
 
 
-def answered(buckets: int, id_type: pa.DataType):
-    """Joins a chunk with its answers: counts of its words and pairs, in their own order."""
-    names = ["ids", "parts", "lengths", "tokens", "digests", "word_kept", "word_deleted", "pair_kept", "pair_deleted"]
+JOINED = ["ids", "texts", "parts", "lengths", "tokens", "kept_1", "deleted_1", "kept_2", "deleted_2", "kept_3", "deleted_3"]
+
+
+def answered(buckets: int, bits: int, id_type: pa.DataType):
+    """Joins a chunk with its answers: counts of its words by number, and of the pair and triple of every token."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        chunk = Chunk(row)
-        out = [row[c] for c in names[:5]]
+        chunk, digests = Chunk(row), np.frombuffer(row["digests"], np.uint64)
+        out = [row[c] for c in JOINED[:5]]
         answers = sorted(right.select(["bucket", "size", "kept", "deleted"]).to_pylist(), key=lambda r: r["bucket"])
-        for size, keys in zip((1, 2), chunk.keys()):
-            order, _ = bucket_order(keys, buckets)
+        for order in ORDERS:
+            keys = Keys(chunk, digests, order, bits)
             for name in ("kept", "deleted"):
-                values = np.zeros(len(keys), np.int64)
-                values[order] = np.concatenate([expand(r[name]) for r in answers if r["size"] == size])
-                out.append(squeeze(values))
-        kinds = [pa.list_(id_type), *[pa.binary()] * 8]
-        del row, chunk, answers
+                values = np.concatenate([expand(r[name]) for r in answers if r["size"] == order])
+                out.append(squeeze(values[keys.place]))
+        kinds = [pa.list_(id_type), pa.list_(pa.int64()), *[pa.binary()] * 9]
+        row = chunk = answers = keys = None
         release_memory()
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names)
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], JOINED)
 
     return run
 
 
 class Counts:
-    """Per token of a chunk: count of the pair, of the context and of the word."""
+    """Per token of a chunk: counts of the triple, the pair and the word, and of the contexts of the first two."""
 
     def __init__(self, row: dict, deleted_too: bool):
         self.chunk = chunk = Chunk(row)
-        words, pairs = expand(row["word_kept"]), expand(row["pair_kept"])
-        if deleted_too:
-            words, pairs = words + expand(row["word_deleted"]), pairs + expand(row["pair_deleted"])
-        self.pair, self.context, self.word = pairs[chunk.pair_of], words[chunk.before], words[chunk.words]
+        word, self.pair, self.triple = (expand(row[f"kept_{n}"]) + (expand(row[f"deleted_{n}"]) if deleted_too else 0) for n in ORDERS)
+        self.word, self.context = word[chunk.words], word[chunk.before]
+        self.wide = np.concatenate((np.zeros(1, np.int64), self.pair[:-1]))  # of the two words before
+        self.wide[chunk.before == 0] = 0  # a text's first word has no such context
+        self.triple[chunk.before == 0] = 0
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -239,22 +302,47 @@ def unigram(word: np.ndarray, total: int, kinds: int, weight: float) -> np.ndarr
     return weight * word / max(total, 1) + (1 - weight) / (kinds + 1)
 
 
-def ratio_counter(total: int, kinds: int, weight: float):
-    """For each bucket of contexts: deleted tokens by the ratio of the pair's estimate to the word's."""
+@dataclass
+class Mixture:
+    """Totals, the weight of words, and the weights of pairs and triples by bucket of their context."""
+
+    total: int
+    kinds: int
+    weight: float
+    pairs: list[float] | None = None
+    triples: list[float] | None = None
+
+    def words(self, c: Counts) -> np.ndarray:
+        return unigram(c.word, self.total, self.kinds, self.weight)
+
+    def of_pairs(self, c: Counts) -> np.ndarray:
+        m = np.array(self.pairs)[context_bucket(c.context)]
+        return m * c.pair / np.maximum(c.context, 1) + (1 - m) * self.words(c)
+
+    def of_triples(self, c: Counts) -> np.ndarray:
+        m = np.array(self.triples)[context_bucket(c.wide)]
+        return m * c.triple / np.maximum(c.wide, 1) + (1 - m) * self.of_pairs(c)
+
+
+def ratio_counter(mixture: Mixture):
+    """For each bucket of contexts: deleted tokens by the ratio of an estimate to the one below it, for pairs, or once
+    their weights are known, for triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((_CONTEXTS + 1, _BINS + 1), np.int64)
+        sums, mass = np.zeros((_CONTEXTS + 1, _BINS + 1), np.int64), np.zeros((_CONTEXTS + 1, _BINS + 1))
         for row in single_rows(batches):
             c = Counts(row, deleted_too=False)
-            on = (c.chunk.part_of == DELETED) & (c.context > 0)
-            pair, context, word = c.pair[on], c.context[on], c.word[on]
-            ratio = pair / context / unigram(word, total, kinds, weight)
-            place = np.full(len(pair), _BINS)
-            seen = pair > 0
+            count, context, below = (c.pair, c.context, mixture.words(c)) if mixture.pairs is None else (c.triple, c.wide, mixture.of_pairs(c))
+            on = (c.chunk.part_of == DELETED) & (context > 0)
+            count, context, below = count[on], context[on], below[on]
+            ratio = count / context / below
+            place = np.full(len(count), _BINS)
+            seen = count > 0
             place[seen] = np.clip(np.rint(np.log2(ratio[seen]) * _STEP) + _BINS // 2, 0, _BINS - 1)
             np.add.at(sums, (context_bucket(context), place), 1)
+            np.add.at(mass, (context_bucket(context), place), ratio)
         where = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(where[0].astype(np.int64)), pa.array(where[1].astype(np.int64)), pa.array(sums[where])], ["context", "place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(where[0].astype(np.int64)), pa.array(where[1].astype(np.int64)), pa.array(sums[where]), pa.array(mass[where])], ["context", "place", "n", "mass"])
 
     return run
 
@@ -270,21 +358,31 @@ def mixture_weight(ratios: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     return weight
 
 
-def scorer(total: int, kinds: int, weight: float, mixed: list[float], id_type: pa.DataType):
-    names = ["_id", "_part", "n_tokens", "n_known", "base_score", "score"]
+def bucket_weights(joined: DataFrame, mixture: Mixture) -> list[float]:
+    """The weight of each bucket of contexts for the next order; buckets without deleted tokens have that of the one before."""
+    ratios = joined.mapInArrow(ratio_counter(mixture), "context long, place long, n long, mass double")
+    found = ratios.groupBy("context", "place").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()
+    weights = [0.0]
+    for context in range(1, _CONTEXTS + 1):
+        own = sorted((r["place"], r["n"], r["mass"]) for r in found if r["context"] == context)
+        n, mass = np.array([k for _, k, _ in own], np.float64), np.array([x for *_, x in own])
+        weights.append(mixture_weight(mass / n, n) if own else weights[-1] or 0.5)
+    return weights
+
+
+def scorer(mixture: Mixture, id_type: pa.DataType):
+    names = ["_id", "_text", "_part", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(mixed)
         for row in single_rows(batches):
             c = Counts(row, deleted_too=True)
-            m = table[context_bucket(c.context)]
-            p = m * c.pair / np.maximum(c.context, 1) + (1 - m) * unigram(c.word, total, kinds, weight)
-            base = np.log10((c.word + 0.5) / (total + 0.5 * (kinds + 1)))
+            base = np.log10((c.word + 0.5) / (mixture.total + 0.5 * (mixture.kinds + 1)))
             at = np.concatenate(([0], np.cumsum(c.chunk.lengths)[:-1]))
             sums = lambda x: np.add.reduceat(x, at)
-            values = [c.chunk.lengths, sums((c.word > 0).astype(np.int64)), sums(base), sums(np.log10(p))]
-            arrays = [pa.array(row["ids"], id_type), pa.array(c.chunk.parts), *map(pa.array, values)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            values = [c.chunk.lengths, sums((c.word > 0).astype(np.int64)), sums(base), sums(np.log10(mixture.of_triples(c)))]
+            arrays = [pa.array(row["ids"], id_type), pa.array(row["texts"], pa.int64()), pa.array(c.chunk.parts), *map(pa.array, values)]
+            own = pa.array(c.chunk.parts != CONTEXT)
+            yield pa.RecordBatch.from_arrays([a.filter(own) for a in arrays], names)
 
     return run
 
@@ -298,35 +396,38 @@ def score_documents(docs: DataFrame, part: F.Column, id_col: str = "doc_id", tex
     scratch = Scratch(spark, "interpolation")
     kind = docs.schema[id_col].dataType
     id_type, id_sql = to_arrow_type(kind), kind.simpleString()
-    chunk_sql = f"ids array<{id_sql}>, parts binary, lengths binary, tokens binary, digests binary"
+    chunk_sql = f"ids array<{id_sql}>, texts array<long>, parts binary, lengths binary, tokens binary"
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), part.cast("int").alias("_part"))
-    chunks = scratch.save(rows.mapInArrow(chunker(id_type), f"chunk long, {chunk_sql}"), "chunks")
-    buckets = max(input_partitions(spark), chunks.count())
+    chunks = scratch.save(rows.mapInArrow(chunker(id_type), f"chunk long, n_tokens long, {chunk_sql}, digests binary"), "chunks")
+    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets, bits = -(-tokens // BUCKET_TOKENS) or 1, min(64, tokens.bit_length() + 24)
 
-    asked = chunks.mapInArrow(asker(buckets), MESSAGE)
+    asked = chunks.mapInArrow(asker(buckets, bits), MESSAGE)
     answers = scratch.save(asked.groupBy("bucket").applyInArrow(add_up, ANSWER), "answers")
     sums = answers.where("totals is not null").agg(*(F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(4))).first()
     kept, deleted, kept_kinds, kinds = (int(x or 0) for x in sums)
     held = answers.where("histogram is not null").select(F.posexplode("histogram").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    at, n = (np.array([r[k] for r in held], np.float64) for k in ("at", "n"))
-    estimate = np.where(at < _CONTEXTS * _STEP, 2 ** (at / _STEP) / max(kept, 1), 0)
-    weight = mixture_weight(estimate * (kept_kinds + 1), n)
-
-    names = "word_kept binary, word_deleted binary, pair_kept binary, pair_deleted binary"
-    joined = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "size", "kept", "deleted").groupBy("chunk")).applyInArrow(answered(buckets, id_type), f"{chunk_sql}, {names}")
+    binned = np.zeros(2 * (_CONTEXTS * _STEP + 1))
+    for r in held:
+        binned[r["at"]] = r["n"]
+    n, mass = binned.reshape(2, -1)
+    weight = mixture_weight(mass[n > 0] / n[n > 0] / max(kept, 1) * (kept_kinds + 1), n[n > 0])
+
+    counts_sql = ", ".join(f"{c} binary" for c in JOINED[5:])
+    joined = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "size", "kept", "deleted").groupBy("chunk")).applyInArrow(answered(buckets, bits, id_type), f"{chunk_sql}, {counts_sql}")
     joined = scratch.save(joined, "joined")
     scratch.drop("chunks")
     scratch.drop("answers")
 
-    ratios = joined.mapInArrow(ratio_counter(kept, kept_kinds, weight), "context long, place long, n long")
-    found = ratios.groupBy("context", "place").agg(F.sum("n").alias("n")).collect()
-    mixed = [0.0]
-    for context in range(1, _CONTEXTS + 1):
-        own = [(r["place"], r["n"]) for r in found if r["context"] == context]
-        place, n = np.array([p for p, _ in own], np.float64), np.array([k for _, k in own], np.float64)
-        ratio = np.where(place < _BINS, 2 ** ((place - _BINS // 2) / _STEP), 0)
-        mixed.append(mixture_weight(ratio, n) if own else mixed[-1] or 0.5)
-
-    scored = joined.mapInArrow(scorer(kept + deleted, kinds, weight, mixed, id_type), f"_id {id_sql}, _part long, n_tokens long, n_known long, base_score double, score double")
+    mixture = Mixture(kept, kept_kinds, weight)
+    mixture.pairs = bucket_weights(joined, mixture)
+    mixture.triples = bucket_weights(joined, mixture)
+    mixture = Mixture(kept + deleted, kinds, weight, mixture.pairs, mixture.triples)
+    sums_of = ["n_tokens", "n_known", "base_score", "score"]
+    scored = joined.mapInArrow(scorer(mixture, id_type), f"_id {id_sql}, _text long, _part long, n_tokens long, n_known long, base_score double, score double")
+    scored = scratch.save(scored, "scored")
+    scratch.drop("joined")
+    parted = scored.where("_text is not null").groupBy("_text").agg(F.first("_id").alias("_id"), F.first("_part").alias("_part"), *(F.sum(c).alias(c) for c in sums_of))
+    scored = scored.where("_text is null").unionByName(parted)
     return scored.select(F.col("_id").alias(id_col), F.col("_part").alias("part"), "n_tokens", "n_known", F.lit(kept + deleted).cast("long").alias("train_tokens"), "base_score", "score")
