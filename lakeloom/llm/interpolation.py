@@ -11,8 +11,8 @@ words before it. A chunk sends each distinct word, pair and triple that it holds
 the bucket of that digest; the bucket adds up and answers every chunk in the order it asked in, so answers need no
 keys. Buckets are ranges of the digests, as many as there are ``BUCKET_TOKENS`` tokens, so that a bucket has bounded
 size; digests go sorted, as the gaps between them. A chunk sends at most one message for each order and bucket and no
-more than it has keys, so messages never outnumber the keys. Digests of pairs and triples have 24 bits more than
-the number of tokens needs, so that one key in 16 million at most is taken for another; those of words have 64.
+more than it has keys, so messages never outnumber the keys. Digests of pairs and triples have 22 bits more than
+the number of tokens needs, so that one key in 4 million at most is taken for another; those of words have 64.
 Every table between steps is written to the shared folder. Expectation-maximisation needs only, for each bucket of
 contexts, a histogram of the ratio of the two estimates (16 bins to a doubling, with their means), which is all the driver sees.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import SPACE_WORDS, Scratch, lower_bytes, pieces_of, release_memory, ship
 
-CHUNK_TOKENS, BUCKET_TOKENS = 600_000, 1_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 900_000, 1_000_000
 #: Parts of the documents: scored only, counted, deleted from the counts while weights are learned; and words that a
 #: chunk only repeats from the one before.
 UNSEEN, KEPT, DELETED, CONTEXT = 0, 1, 2, 3
@@ -53,7 +53,7 @@ def squeeze(values: np.ndarray) -> bytes:
     used = 8
     while used > 1 and not wide[:, used - 1].any():
         used -= 1
-    return bytes([used]) + zstandard.compress(np.ascontiguousarray(wide[:, :used].T).tobytes(), 3)
+    return bytes([used]) + zstandard.compress(np.ascontiguousarray(wide[:, :used].T).tobytes(), 6)
 
 
 def expand(blob: bytes) -> np.ndarray:
@@ -401,7 +401,7 @@ def score_documents(docs: DataFrame, part: F.Column, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), part.cast("int").alias("_part"))
     chunks = scratch.save(rows.mapInArrow(chunker(id_type), f"chunk long, n_tokens long, {chunk_sql}, digests binary"), "chunks")
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets, bits = -(-tokens // BUCKET_TOKENS) or 1, min(64, tokens.bit_length() + 24)
+    buckets, bits = -(-tokens // BUCKET_TOKENS) or 1, min(64, tokens.bit_length() + 22)
 
     asked = chunks.mapInArrow(asker(buckets, bits), MESSAGE)
     answers = scratch.save(asked.groupBy("bucket").applyInArrow(add_up, ANSWER), "answers")

@@ -106,10 +106,11 @@ def test_texts_in_several_chunks_score_like_whole_ones(spark, monkeypatch):
 
 def test_repeated_documents_score_apart(spark):
     rng = random.Random(4)
-    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(150))
-    once, twice = [text() for _ in range(60)], [text() for _ in range(20)]
-    docs = spark.createDataFrame([(5 * k + 2, t) for k, t in enumerate(once + twice + twice)] + [(5 * k, text()) for k in range(20)], "doc_id long, text string")
-    scores = {r["doc_id"]: r["score"] / r["n_tokens"] for r in score_documents(docs, column()).collect()}
+    text = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(150))
+    near = lambda t: " ".join(w if rng.random() < 0.8 else f"w{rng.randrange(4000)}" for w in t.split())
+    once, twice, others = ([text() for _ in range(n)] for n in (60, 20, 20))
+    docs = [(5 * k + 2, t) for k, t in enumerate(once + twice + twice)] + [(5 * k, near(t)) for k, t in enumerate(others)] + [(5 * k + 3, t) for k, t in enumerate(others)]
+    scores = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string"), column()).collect()}
     lone, both = [scores[5 * k + 2] for k in range(60)], [scores[5 * k + 2] for k in range(60, 100)]
     assert np.mean([b > x for b in both for x in lone]) > 0.95  # of all pairs of a repeated and a lone text
 
