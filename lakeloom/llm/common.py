@@ -42,9 +42,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or a folder of our own where it is unset on one machine
+    (tests); a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         where = getattr(spark.sparkContext, "_lakeloom_scratch", None)
         if where is None:
             where = tempfile.mkdtemp(prefix="lakeloom-shared-")
@@ -74,7 +77,7 @@ class Scratch:
 
 
 def input_partitions(spark: SparkSession) -> int:
-    """Reduce-side partitions: the session's setting, which follows the size of the data."""
+    """Reduce-side partitions: the session's setting, which whoever runs a job sets by the size of its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
