@@ -30,6 +30,7 @@ from lakeloom.llm.common import ALNUM_WORDS, lower_bytes, pieces_of, ship
 
 _CACHED_WORDS = 250_000
 _BATCH = 2048
+_SPOT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -48,20 +49,43 @@ class Settings:
     seed: int = 11
 
 
-def _pieces(marked: bytes, size: int = 4096) -> Iterator[bytes]:
-    """A word in pieces that share their ends, so that every 6-gram is in one."""
-    for at in range(0, max(1, len(marked) - 5), size - 5):
-        yield marked[at : at + size]
-
-
-def _grams(marked: bytes) -> set[bytes]:
+def grams(word: bytes) -> set[bytes]:
+    """Character 3- to 6-grams of a whole word with its ends marked."""
+    marked = b"<" + word + b">"
     size = len(marked)
     return {marked[i:j] for i in range(size - 2) for j in range(i + 3, min(i + 6, size) + 1)}
 
 
-def grams(word: bytes) -> set[bytes]:
-    """Character 3- to 6-grams of a whole word with its ends marked."""
-    return _grams(b"<" + word + b">")
+def _marked_chunks(words: list[bytes], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of words with their ends marked, in chunks, and the word of each byte; pieces of a word that is
+    longer than a chunk share their ends, so that every 6-gram is in one."""
+    held, owners, total = [], [], 0
+    for k, word in enumerate(words):
+        marked = b"<" + word + b">"
+        for at in range(0, max(1, len(marked) - 5), size - 5):
+            piece = marked[at : at + size]
+            held.append(piece)
+            owners.append(k)
+            total += len(piece)
+            if total >= size:
+                yield np.frombuffer(b"".join(held), np.uint8), np.repeat(owners, [len(p) for p in held])
+                held, owners, total = [], [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8), np.repeat(owners, [len(p) for p in held])
+
+
+def _codes(raw: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the lengths 3 to 6: the length, the grams within words as integers that no other gram has, their words."""
+    code = raw.astype(np.uint64)
+    for n in range(2, 7):
+        code = code[:-1] << np.uint64(8) | raw[n - 1 :]
+        if n > 2:
+            inside = owner[n - 1 :] == owner[: max(0, len(owner) - n + 1)]
+            yield n, code[inside] | np.uint64(n << 48), owner[n - 1 :][inside]
+
+
+def _spots(codes: np.ndarray, bits: int) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -81,7 +105,11 @@ class Network:
 
     def __init__(self, settings: Settings, words: dict[bytes, float], grams_: dict[bytes, float], weights: dict[str, np.ndarray] | None = None):
         self.s, self.words, self.grams = settings, words, grams_
-        self.gram_names = set(grams_)
+        coded = np.array([int.from_bytes(g, "big") | len(g) << 48 for g in grams_], np.uint64)
+        order = np.argsort(coded)
+        self.gram_codes, self.gram_strength = coded[order], np.array(list(grams_.values()), np.float64)[order]
+        self.gram_spots = np.zeros(1 << _SPOT_BITS, bool)  # where a known gram may be, so that few are searched for
+        self.gram_spots[_spots(coded, _SPOT_BITS)] = True
         self.word_row = {w: k + 1 for k, w in enumerate(words)}
         self.width = 2 + 2 * settings.learned
         self.w = weights or self._fresh()
@@ -102,19 +130,30 @@ class Network:
 
     # Inputs -------------------------------------------------------------------------------------
 
-    def describe(self, word: bytes) -> tuple[float, float, int, list[int]]:
-        """Known word strength, known character strength, row of the word table, buckets of the character table."""
-        marked, digest, buckets = b"<" + word + b">", xxhash.xxh32_intdigest, self.s.buckets
-        known = set().union(*(_grams(piece) & self.gram_names for piece in _pieces(marked)))
-        strength = max(map(self.grams.__getitem__, known)) if known else 0.0
-        short = {marked[i : i + 3] for i in range(len(marked) - 2)}
-        return self.words.get(word, 0.0), strength, self.word_row.get(word, 0), sorted([digest(g) % buckets for g in short])
+    def describe(self, words: list[bytes]) -> list[tuple[float, float, int, list[int]]]:
+        """Of each word its known strength, known character strength, row of the word table, and buckets of the
+        character table."""
+        strength, buckets = np.zeros(len(words)), self.s.buckets
+        keys = []
+        for raw, owner in _marked_chunks(words):
+            for n, codes, of in _codes(raw, owner):
+                if n == 3:
+                    keys.append(np.unique(of * buckets + _spots(codes, 32) % buckets))
+                at = np.flatnonzero(self.gram_spots[_spots(codes, _SPOT_BITS)])
+                if len(at):
+                    found = np.minimum(np.searchsorted(self.gram_codes, codes[at]), len(self.gram_codes) - 1)
+                    known = self.gram_codes[found] == codes[at]
+                    np.maximum.at(strength, of[at[known]], self.gram_strength[found[known]])
+        key = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.zeros(0, np.int64)
+        ends = np.searchsorted(key, np.arange(len(words) + 1) * buckets).tolist()
+        flat = (key % buckets).tolist()
+        return [(self.words.get(w, 0.0), x, self.word_row.get(w, 0), flat[i:j]) for w, x, i, j in zip(words, strength.tolist(), ends, ends[1:])]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        cache, table = self._cache, self._table
-        for w in set(words).difference(cache):
-            cache[w] = len(table)
-            table.append(self.describe(w))
+        cache = self._cache
+        if fresh := sorted(set(words).difference(cache)):
+            cache.update(zip(fresh, range(len(self._table), len(self._table) + len(fresh))))
+            self._table.extend(self.describe(fresh))
         return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
     def forget(self) -> None:

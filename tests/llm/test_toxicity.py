@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.llm import toxicity
 from lakeloom.llm.common import ALNUM_WORDS, lower_bytes
 from lakeloom.llm.toxicity import Network, Settings, fit, grams, score, train, windows_of
 
@@ -90,7 +91,7 @@ def plain_score(net, text):
     h = s.hidden
 
     def vector(word):
-        known, strength, row, buckets = net.describe(word)
+        known, strength, row, buckets = net.describe([word])[0]
         return np.concatenate(([known, strength], w["word"][row], w["char"][buckets].mean(axis=0)))
 
     def run(xs, side):
@@ -125,7 +126,8 @@ def test_long_words_are_read_to_their_end():
     net = train([t for _, t, _ in rows], [y for _, _, y in rows], SMALL)
     for size in (40, 4090, 4094, 100_000):
         clean = ("talo" * size)[:size]
-        assert net.describe((clean + "vilro").encode())[1] > net.describe(clean.encode())[1]
+        longer, shorter = net.describe([(clean + "vilro").encode(), clean.encode()])
+        assert longer[1] > shorter[1]
     assert grams(b"x" * 5000) == {b"<xx", b"<xxx", b"<xxxx", b"<xxxxx", b"xxx", b"xxxx", b"xxxxx", b"xxxxxx", b"xx>", b"xxx>", b"xxxx>", b"xxxxx>"}
     net.scores(["w" * 3_000_000 + " ta " * 300_000])
 
@@ -136,3 +138,20 @@ def test_one_text_of_a_repeated_id_is_learned_from(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "repartition", lambda self, n: seen.append(self.count()) or self.coalesce(n))
     fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), SMALL, F.lit(True))
     assert seen == [2]
+
+
+def test_descriptions_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 101, int(n)).astype(np.uint8)) for n in rng.integers(1, 14, 400)] + [b"a", b"\xc3\xa9", b"d" * 300]
+    pool = sorted(set().union(*map(grams, words)))
+    known = {pool[int(k)]: float(rng.random()) for k in rng.integers(0, len(pool), 200)}
+    net = Network(Settings(), {b"a": 0.5}, known)
+    want = [max((known.get(g, 0.0) for g in grams(w)), default=0.0) for w in words]
+    assert [r[1] for r in net.describe(words)] == want
+    assert [net.describe([w])[0] for w in words] == net.describe(words) and net.describe([]) == []
+    assert all(r[3] == sorted(set(r[3])) and 1 <= len(r[3]) <= len(w) for r, w in zip(net.describe(words), words))
+    whole = net.describe(words)
+    chunks = toxicity._marked_chunks
+    monkeypatch.setattr(toxicity, "_marked_chunks", lambda w: chunks(w, 16))
+    assert net.describe(words) == whole
+    assert Network(Settings(), {}, {}).describe([b"abc"])[0][:3] == (0.0, 0.0, 0)
