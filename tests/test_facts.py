@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -95,6 +96,49 @@ def test_promotion_and_curation(spark):
     assert curation.curation_plan(bad).first()["to_status"] == "rejected"
 
 
+def naive_lineage(links):
+    """By walking from every id."""
+    older = {}
+    for a, b in links:
+        older.setdefault(a, set()).add(b)
+    found = set()
+    for a in older:
+        todo = list(older[a])
+        while todo:
+            b = todo.pop()
+            if (a, b) not in found:
+                found.add((a, b))
+                todo += older.get(b, ())
+    return sorted(found)
+
+
+@pytest.mark.parametrize("shape", ["chains", "branches", "repeated", "several", "circles"])
+def test_lineage_of_any_shape(spark, shape):
+    rng = random.Random(shape)
+    links = [(f"v{c}.{k + 1}", f"v{c}.{k}") for c in range(4) for k in range(rng.randrange(1, 20))]
+    if shape == "branches":
+        links = [(f"v{k}", f"v{rng.randrange(k)}") for k in range(1, 40)]
+    elif shape == "repeated":
+        links += links[::3]
+    elif shape == "several":
+        links = [(f"v{k}", f"v{rng.randrange(k)}") for k in range(1, 25)] + [("v9", "v2"), ("v20", "v1"), ("v20", "w")]
+    elif shape == "circles":
+        links += [("v0.0", "v0.1"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("e", "e"), ("f", "e")]
+    rng.shuffle(links)
+    rows = [(a, json.dumps({"prevVersion": b})) for a, b in links] + [("v0.0" if shape == "chains" else "x", "{}")]
+    f = spark.createDataFrame(rows, "id string, args string").repartition(3)
+    assert sorted(map(tuple, curation.lineage(f, nearby=7, longest=3).collect())) == naive_lineage(links)
+
+
+def test_lineage_stores_no_pairs(spark, tmp_path, monkeypatch):
+    """What chains of 200 versions leave in the shared folder and in checkpoints is of the size of the links."""
+    monkeypatch.setattr(curation, "shared_folder", lambda _, name: f"{tmp_path}/{name}{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr("lakeloom.plans.engine.cut", lambda rows: pytest.fail("pairs are stored"))
+    f = spark.createDataFrame([(f"v{c}.{k + 1}", json.dumps({"prevVersion": f"v{c}.{k}"})) for c in range(10) for k in range(200)], "id string, args string")
+    assert curation.lineage(f.repartition(1)).count() == 10 * 200 * 201 // 2
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 60_000
+
+
 def test_decay_and_times(spark):
     f = spark.createDataFrame([("1", "playbook", '{"worth":1.0}', 1000, None, 0, None, "s", None)], FACTS)
     assert facts.scored(f, 1000).first()["decayed_worth"] == 1.0 and facts.scored(f, 1000 + 7_776_000).first()["decayed_worth"] == 0.5
