@@ -2,7 +2,8 @@
 
 Atoms become scans that read only the keys they name, filters on constants and comparisons go to the scan, shared
 variables become equi-joins, and the head a projection with ``distinct`` or a grouped aggregate. The order of
-joins follows shared variables, so a cross join is made only where atoms share none; the rest is Catalyst's.
+joins follows shared variables, so a cross join is made only where atoms share none; the rest is Catalyst's. Atoms that
+only filter another one are semi-joins, where no aggregate counts rows.
 """
 
 from __future__ import annotations
@@ -79,13 +80,8 @@ def _aligned(bound: Bound, variable: str, loose: bool, double: bool) -> Column:
     return column.cast("double") if double else column
 
 
-def join(left: Bound, right: Bound) -> Bound:
-    shared = [v for v in left.loose if v in right.loose]
-    if "_exists" in left.rows.columns and not left.loose:
-        left = Bound(left.rows.withColumnRenamed("_exists", "_e1"), {})
-    if not shared:
-        extra = [c for c in right.rows.columns if c in left.rows.columns]
-        return Bound(left.rows.crossJoin(right.rows.drop(*extra)), left.loose | right.loose)
+def _alike(left: Bound, right: Bound, shared: list[str]) -> tuple[DataFrame, DataFrame, dict[str, bool]]:
+    """Both sides with their shared variables in one form, and which of these are in comparable form."""
     kinds = lambda b, v: b.rows.schema[f"${v}"].dataType
     loose = {v: left.loose[v] or right.loose[v] for v in shared}
     out = []
@@ -98,13 +94,56 @@ def join(left: Bound, right: Bound) -> Bound:
             rows = rows.withColumn(f"${v}", _aligned(side, v, loose[v] or text, mixed and not loose[v]))
             loose[v] = loose[v] or text
         out.append(rows)
-    extra = [c for c in out[1].columns if c.startswith("_e")]
-    return Bound(out[0].join(out[1].drop(*extra), [f"${v}" for v in shared]), left.loose | right.loose | loose)
+    return *out, loose
+
+
+def join(left: Bound, right: Bound) -> Bound:
+    shared = [v for v in left.loose if v in right.loose]
+    if "_exists" in left.rows.columns and not left.loose:
+        left = Bound(left.rows.withColumnRenamed("_exists", "_e1"), {})
+    if not shared:
+        extra = [c for c in right.rows.columns if c in left.rows.columns]
+        return Bound(left.rows.crossJoin(right.rows.drop(*extra)), left.loose | right.loose)
+    a, b, loose = _alike(left, right, shared)
+    extra = [c for c in b.columns if c.startswith("_e")]
+    return Bound(a.join(b.drop(*extra), [f"${v}" for v in shared]), left.loose | right.loose | loose)
+
+
+def with_partner(left: Bound, right: Bound, shared: list[str]) -> Bound:
+    """Rows of the left side whose shared variables the right side has too."""
+    columns = [f"${v}" for v in shared]
+    rows = right.rows.select(*columns)
+    if len(shared) < len(right.loose):
+        rows = rows.distinct()
+    a, b, loose = _alike(left, Bound(rows, {v: right.loose[v] for v in shared}), shared)
+    return Bound(a.join(b, columns, "left_semi"), left.loose | loose)
+
+
+def without_ears(parts: list[Bound], wanted: set[str]) -> list[Bound]:
+    """Fewer atoms with the same ``wanted`` values: an atom goes if another one has all of its variables that are wanted or
+    in other atoms; the other keeps the rows with a partner. Its further variables are never multiplied out."""
+    parts = list(parts)
+    k = len(parts) - 1
+    while k >= 0:
+        others = [p for p in parts if p is not parts[k]]
+        used = wanted.union(*(p.loose for p in others))
+        shared = [v for v in parts[k].loose if v in used]
+        keeper = next((p for p in others if shared and set(shared) <= set(p.loose)), None)
+        if keeper is None:
+            k -= 1
+            continue
+        kept = with_partner(keeper, parts[k], shared)
+        parts = [kept if p is keeper else p for p in others]
+        k = len(parts) - 1
+    return parts
 
 
 def body_rows(rule: Rule, read: Reader, readers: list[Reader] | None = None) -> Bound:
-    """All bindings of the body; ``readers``: another reader for each atom."""
+    """All bindings of the body, or without aggregates at least one for each row of the head; ``readers``: another reader
+    for each atom."""
     parts = [scan(a, r) for a, r in zip(rule.body, readers or [read] * len(rule.body))]
+    if not rule.aggregates:
+        parts = without_ears(parts, {t.name for t in rule.head.args.values() if isinstance(t, Variable)})
     bound, rest = parts[0], parts[1:]
     while rest:
         nxt = next((p for p in rest if set(p.loose) & set(bound.loose)), rest[0])

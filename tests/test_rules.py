@@ -9,6 +9,7 @@ from lakeloom.plans.engine import Engine, strata
 from lakeloom.plans.relations import Relations, Scope
 from lakeloom.plans.rules import CONVERGENCE_RULES, install_rule, load_rules, parse_compact, relation_listing
 from lakeloom.plans.terms import Aggregate, Comparison, Constant, Rule, RuleError, Variable, parse_term
+from pyspark.sql import functions as F
 
 
 def rule(head, *body, name="r"):
@@ -101,6 +102,17 @@ def test_shipped_rules(facts):
     assert rows(depends(facts).query("depends_transitive")) == []
 
 
+def test_atoms_that_only_filter_are_not_multiplied_out(spark):
+    """4,000 rows of one hub: 6.4e10 bindings of the body, and 2 rows of the head."""
+    hub = spark.range(4000).select(F.lit("h").alias("h"), (F.col("id") % 2).alias("c"), F.col("id").alias("i"), F.lit(None).cast("string").alias("d"))
+    few = spark.createDataFrame([(7.0,), (8.0,)], "i double")
+    body = [("hub", {"h": "$H", "c": "$C"}), ("few", {"i": "$I"}), ("hub", {"i": "$J", "d": "$D", "h": "$H"}), ("hub", {"i": "$I", "h": "$H"})]
+    for order in itertools.permutations(body):
+        found = Engine(Relations({"hub": hub, "few": few}), [rule({"h": "$H", "c": "$C"}, *order)]).query("r")
+        assert "Inner" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and plan.count("LeftSemi") == 3
+        assert order != tuple(body) or rows(found) == [(0, "h"), (1, "h")]
+
+
 def test_long_chain_and_round_limit(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(150)], "a long, b long")
     closure = [rule({"a": "$X", "b": "$Y"}, ("e", {"a": "$X", "b": "$Y"}), name="t"), rule({"a": "$X", "b": "$Z"}, ("e", {"a": "$X", "b": "$Y"}), ("t", {"a": "$Y", "b": "$Z"}), name="t")]
